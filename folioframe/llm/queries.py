@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from folioframe.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from folioframe.llm.line_dedup import OP10_SQL, op10_line_dedup
+from folioframe.llm.packing import op7_packing
 from folioframe.llm.sharding import op9_sharding
 from folioframe.llm.source_mix import op3_source_mix
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_source_mix, op9_sharding, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_source_mix, op7_packing, op9_sharding, op10_line_dedup)}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op10_line_dedup": OP10_SQL}
