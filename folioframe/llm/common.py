@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,11 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests on one machine) is a local one made.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioframe-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
 
 
 def text_of(name: str = "text") -> Column:
@@ -89,3 +94,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"no convergence in {rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return cut(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots))
+
+
+def stored(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to the shared checkpoint folder and read again, and where it lies."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that ``stored`` wrote."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
