@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as scripts on the web see it: more than the ASCII characters.
-WS = r"\t\n\x0B\f\r    -     　﻿"
+WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 # The characters and words below decide what a line is read as.
 STRONG_ORNAMENTS = "*#~•·◆❖❦§✻✽⁂✦★☆✧❉‡†"
