@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions.patterns import collapsed
@@ -63,34 +63,46 @@ def roman_numeral(n: Column) -> Column:
     return F.when((n <= 0) | (n >= 4000), n.cast("string")).otherwise(F.concat(digit(1000, "M", "", ""), digit(100, "C", "D", "M"), digit(10, "X", "L", "C"), digit(1, "I", "V", "X")))
 
 
-def parse_chapter_title(text: Column) -> Column:
-    """A struct (label, label_gap, number, form, number_text, separator, rest, caps), or null without a number."""
-    t = collapsed(text)
-    found = F.regexp_extract(t, f"^(?i:{LABEL})", 0)
-    gap = F.when(F.substr(t, F.length(found) + 1, F.lit(1)) == " ", " ").otherwise("")
-    is_label = (found != "") & ((gap != "") | (F.length(found) == F.length(t)))
-    after = F.when(is_label, F.substr(t, F.length(found) + F.length(gap) + 1)).otherwise(t)
-
-    digits = F.regexp_extract(after, "^[0-9]{1,3}", 0)
-    roman = F.regexp_extract(after, "^[IVXLCDM]+(?![A-Za-z])", 0)
-    roman_ok = (roman != "") & roman.rlike(f"^{ROMAN}$") & (roman_value(roman) < 400)
-    token = F.regexp_extract(after, r"^[A-Za-z]+(?:[\s-]+(?:and[\s-]+)?[A-Za-z]+){0,2}", 0)
-    spelled = F.lit(None).cast("string")
-    for n in range(1, 6):
-        prefix = F.regexp_extract(token, rf"^[A-Za-z]+(?:[\s-]+[A-Za-z]+){{{n - 1}}}", 0)
-        whole = prefix.rlike(r"^[A-Za-z]") & (F.length(prefix) > 0) & ~F.substr(token, F.length(prefix) + 1, F.lit(1)).rlike("[A-Za-z]")
-        spelled = F.when(whole & words_value(prefix).isNotNull(), prefix).otherwise(spelled)
-    form = F.when(digits != "", "digits").when(roman_ok, "roman").when(spelled.isNotNull(), "words")
-    number_text = F.when(digits != "", digits).when(roman_ok, roman).otherwise(spelled)
-    number = F.when(digits != "", digits.cast("int")).when(roman_ok, roman_value(roman)).otherwise(words_value(spelled))
-    tail = F.substr(after, F.length(number_text) + 1)
-    separator = F.regexp_extract(tail, r"^(\s*[:.—–\-]+\s*|\s+)", 0)
-    rest = F.substr(tail, F.length(separator) + 1)
-    refused = ((rest != "") & (separator == "")) | ((rest != "") & ~is_label & ~separator.rlike(r"[:.—–\-]")) | ((form == "digits") & tail.rlike("(?i)^[a-z]"))
-    label = F.when(is_label, found)
-    letters = F.regexp_replace(F.concat(F.coalesce(label, F.lit("")), F.when(form == "words", number_text).otherwise("")), "[^A-Za-z]", "")
-    parsed = F.struct(label.alias("label"), F.when(is_label, gap).otherwise("").alias("label_gap"), number.alias("number"), form.alias("form"), number_text.alias("number_text"), separator.alias("separator"), rest.alias("rest"), ((letters != "") & (letters == F.upper(letters))).alias("caps"))
-    return F.when(form.isNotNull() & ~F.coalesce(refused, F.lit(False)), parsed)
+def with_parsed_title(titles: DataFrame, text: str = "text") -> DataFrame:
+    """Adds parsed, a struct (label, label_gap, number, form, number_text, separator, rest, caps), null without a number.
+
+    The label, if any, ends where a space or the title ends. The number is digits, a roman numeral below 400 or the longest
+    run of up to three words that reads as a number. Without a label only punctuation may stand between the number and
+    more text. Each step is a column of its own, so that no pattern is evaluated twice.
+    """
+    c, rest_of = F.col, lambda x, n: F.substr(x, n + 1)
+    steps: list[tuple[str, Column]] = [
+        ("__t", collapsed(c(text))),
+        ("__found", F.regexp_extract("__t", f"^(?i:{LABEL})", 0)),
+        ("__gap", F.when(F.substr("__t", F.length("__found") + 1, F.lit(1)) == " ", " ").otherwise("")),
+        ("__label", F.when((c("__found") != "") & ((c("__gap") != "") | (F.length("__found") == F.length("__t"))), c("__found"))),
+        ("__after", F.when(c("__label").isNotNull(), rest_of(c("__t"), F.length("__label") + F.length("__gap"))).otherwise(c("__t"))),
+        ("__digits", F.regexp_extract("__after", "^[0-9]{1,3}", 0)),
+        ("__roman", F.regexp_extract("__after", f"^(?=[IVXLCDM]){ROMAN}(?![A-Za-z])", 0)),
+        ("__roman_value", F.when(c("__roman") != "", roman_value(c("__roman")))),
+        ("__token", F.regexp_extract("__after", r"^[A-Za-z]+(?:[\s-]+(?:and[\s-]+)?[A-Za-z]+){0,2}", 0)),
+        ("__prefixes", F.filter(F.array(*[F.regexp_extract("__token", rf"^[A-Za-z]+(?:[\s-]+[A-Za-z]+){{{n}}}(?![A-Za-z])", 0) for n in (4, 3, 2, 1, 0)]), lambda x: x != "")),
+        ("__values", F.transform("__prefixes", words_value)),
+        ("__at", F.filter(F.transform("__values", lambda v, i: F.when(v.isNotNull(), i)), lambda i: i.isNotNull())),
+        ("__words", F.get("__prefixes", F.get("__at", F.lit(0)))),
+        ("__form", F.when(c("__digits") != "", "digits").when(c("__roman_value") < 400, "roman").when(c("__words").isNotNull(), "words")),
+        ("__text", F.when(c("__form") == "digits", c("__digits")).when(c("__form") == "roman", c("__roman")).otherwise(c("__words"))),
+        ("__number", F.when(c("__form") == "digits", c("__digits").try_cast("int")).when(c("__form") == "roman", c("__roman_value")).otherwise(F.get("__values", F.get("__at", F.lit(0))))),
+        ("__tail", rest_of(c("__after"), F.length("__text"))),
+        ("__separator", F.regexp_extract("__tail", r"^(\s*[:.—–\-]+\s*|\s+)", 0)),
+        ("__rest", rest_of(c("__tail"), F.length("__separator"))),
+        ("__letters", F.regexp_replace(F.concat(F.coalesce("__label", F.lit("")), F.when(c("__form") == "words", c("__text")).otherwise("")), "[^A-Za-z]", "")),
+    ]
+    out = titles
+    for name, column in steps:
+        out = out.withColumn(name, column)
+    more = c("__rest") != ""
+    refused = (more & (c("__separator") == "")) | (more & c("__label").isNull() & ~c("__separator").rlike(r"[:.—–\-]")) | ((c("__form") == "digits") & c("__tail").rlike("(?i)^[a-z]"))
+    parsed = F.struct(
+        c("__label").alias("label"), F.when(c("__label").isNotNull(), c("__gap")).otherwise("").alias("label_gap"), c("__number").alias("number"), c("__form").alias("form"), c("__text").alias("number_text"), c("__separator").alias("separator"), c("__rest").alias("rest"),
+        ((c("__letters") != "") & (c("__letters") == F.upper("__letters"))).alias("caps"),
+    )
+    return out.withColumn("parsed", F.when(c("__form").isNotNull() & ~F.coalesce(refused, F.lit(False)), parsed)).drop(*[n for n, _ in steps])
 
 
 def format_chapter_title(parsed: Column, style: str | Column, number: Column) -> Column:

@@ -117,9 +117,10 @@ def empty_chapters_and_stranded_breaks(blocks: DataFrame) -> DataFrame:
 
 def numbered_chapters(titles: DataFrame) -> DataFrame:
     """Of chapter titles (doc_id, idx, text): those with a number, with parsed, number, ordinal and new text."""
-    from folioframe.functions.numbers import parse_chapter_title
+    from folioframe.functions.numbers import with_parsed_title
 
-    rows = titles.withColumn("parsed", parse_chapter_title(F.col("text"))).filter("parsed IS NOT NULL")
+    # The row number keeps the filter above the parser: pushed below it, it would hold the whole parser again.
+    rows = with_parsed_title(titles).withColumn("__row", F.monotonically_increasing_id()).filter("parsed IS NOT NULL AND __row >= 0").drop("__row")
     return rows.withColumn("number", F.col("parsed.number")).withColumn("ordinal", F.row_number().over(IN_ORDER))
 
 
