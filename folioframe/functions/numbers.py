@@ -73,7 +73,7 @@ def with_parsed_title(titles: DataFrame, text: str = "text") -> DataFrame:
     c, rest_of = F.col, lambda x, n: F.substr(x, n + 1)
     steps: list[tuple[str, Column]] = [
         ("__t", collapsed(c(text))),
-        ("__found", F.regexp_extract("__t", f"^(?i:{LABEL})", 0)),
+        ("__found", F.regexp_extract("__t", f"^(?iu:{LABEL})", 0)),
         ("__gap", F.when(F.substr("__t", F.length("__found") + 1, F.lit(1)) == " ", " ").otherwise("")),
         ("__label", F.when((c("__found") != "") & ((c("__gap") != "") | (F.length("__found") == F.length("__t"))), c("__found"))),
         ("__after", F.when(c("__label").isNotNull(), rest_of(c("__t"), F.length("__label") + F.length("__gap"))).otherwise(c("__t"))),

@@ -149,4 +149,4 @@ def ends_like_sentence(text: Column) -> Column:
 
 def is_contents_heading(text: Column) -> Column:
     t = trimmed(F.regexp_replace(collapsed(text), "[:.]+$", ""))
-    return F.length(t).between(1, 40) & t.rlike(f"(?i)^({'|'.join(CONTENTS_HEADINGS)})$")
+    return F.length(t).between(1, 40) & t.rlike(f"(?iu)^({'|'.join(CONTENTS_HEADINGS)})$")

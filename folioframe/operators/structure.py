@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.operators.classify import BEFORE, IN_ORDER
+from folioframe.operators.classify import before, in_order
 
-DOC = Window.partitionBy("doc_id")
-UP_TO = IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)
 OPENERS = ("chapterTitle", "partTitle", "chapterSubtitle", "subheading", "sceneBreak", "pageBreak")
 
 
@@ -26,12 +24,12 @@ def _page_break() -> Column:
 def split_front_matter(df: DataFrame) -> DataFrame:
     """Adds body_start, null without a heading; what stands before it becomes front matter, its first title-like line the title."""
     heading = F.col("auto_role").isin("chapterTitle", "partTitle")
-    start = F.coalesce(F.min(F.when(heading & F.col("structural_marker"), F.col("idx"))).over(DOC), F.min(F.when(heading, F.col("idx"))).over(DOC))
+    start = F.coalesce(F.min(F.when(heading & F.col("structural_marker"), F.col("idx"))).over(Window.partitionBy("doc_id")), F.min(F.when(heading, F.col("idx"))).over(Window.partitionBy("doc_id")))
     df = df.withColumn("body_start", start)
     front = (F.col("idx") < F.col("body_start")) & ~F.col("auto_role").isin("empty", "pageBreak") & (F.col("kind") != "table")
     titled = F.col("auto_role").isin("frontMatterTitle", "subheading", "chapterSubtitle") | ((F.col("word_count") <= 12) & (F.col("idx") <= 2))
     df = df.withColumn("__front", F.coalesce(front, F.lit(False)))
-    df = df.withColumn("__title", F.min(F.when(F.col("__front") & titled, F.col("idx"))).over(DOC))
+    df = df.withColumn("__title", F.min(F.when(F.col("__front") & titled, F.col("idx"))).over(Window.partitionBy("doc_id")))
     first = F.col("__front") & F.coalesce(F.col("idx") == F.col("__title"), F.lit(False))
     df = df.withColumn("__first", first)
     df = _to(df, F.col("__first"), "frontMatterTitle", "first title-like line before the body matter")
@@ -44,7 +42,7 @@ def mark_copyright_pages(df: DataFrame) -> DataFrame:
     """Front matter of a page with any copyright marker becomes copyright; pages end at page breaks."""
     front = F.coalesce(F.col("idx") < F.col("body_start"), F.lit(False))
     breaks = ((F.col("auto_role") == "pageBreak") | _page_break()).cast("int")
-    df = df.withColumn("__page", F.sum(breaks).over(UP_TO)).withColumn("__front", front)
+    df = df.withColumn("__page", F.sum(breaks).over(in_order().rowsBetween(Window.unboundedPreceding, 0))).withColumn("__front", front)
     marker = F.col("__front") & (F.col("kind") == "paragraph") & ~F.col("is_empty") & F.col("is_copyright")
     any_marker = F.max(marker).over(Window.partitionBy("doc_id", "__page"))
     df = df.withColumn("__any", any_marker)
@@ -58,7 +56,7 @@ def fold_subtitles(df: DataFrame) -> DataFrame:
     A folded title can't fold the next: in a run of foldable rows only the odd ones are folded.
     """
     skipped = F.col("auto_role").isin("empty", "pageBreak")
-    df = df.withColumn("__skip", skipped).withColumn("__last_break", F.max(F.when(F.col("auto_role") == "pageBreak", F.col("idx"))).over(BEFORE))
+    df = df.withColumn("__skip", skipped).withColumn("__last_break", F.max(F.when(F.col("auto_role") == "pageBreak", F.col("idx"))).over(before()))
     among = Window.partitionBy("doc_id", "__skip").orderBy("idx")
     df = df.withColumn("__prev", F.lag("auto_role").over(among)).withColumn("__prev_idx", F.lag("idx").over(among))
     heading = F.col("auto_role").isin("chapterTitle", "partTitle") | ((F.col("auto_role") == "subheading") & (F.col("confidence") < F.lit(0.7)))
@@ -74,7 +72,7 @@ def fold_subtitles(df: DataFrame) -> DataFrame:
 def open_sections(df: DataFrame) -> DataFrame:
     """The first body paragraph after something that opens a section becomes bodyFirst: the last event carried forward."""
     event = F.when(F.col("kind") == "table", 0).when(F.col("auto_role").isin(*OPENERS), 1).when(F.col("auto_role").isin("body", "bodyFirst", "frontMatter"), 0)
-    df = df.withColumn("__open", F.coalesce(F.last(event, ignorenulls=True).over(BEFORE), F.lit(1)))
+    df = df.withColumn("__open", F.coalesce(F.last(event, ignorenulls=True).over(before()), F.lit(1)))
     return _to(df, (F.col("auto_role") == "body") & (F.col("__open") == 1), "bodyFirst", "opens a section").drop("__open")
 
 
@@ -105,7 +103,7 @@ def empty_chapters_and_stranded_breaks(blocks: DataFrame) -> DataFrame:
     role = F.when(F.col("kind") == "table", "body").otherwise(F.col("role"))
     rows = blocks.select("doc_id", "idx", "preview", role.alias("role")).filter(~F.col("role").isin("empty", "pageBreak", "chapterSubtitle"))
     what = F.when(F.col("role").isin("chapterTitle", "partTitle"), "title").when(F.col("role") == "sceneBreak", "break").otherwise("text")
-    rows = rows.withColumn("what", what).withColumn("before", F.lag("what").over(IN_ORDER)).withColumn("after", F.lead("what").over(IN_ORDER))
+    rows = rows.withColumn("what", what).withColumn("before", F.lag("what").over(in_order())).withColumn("after", F.lead("what").over(in_order()))
     ends = lambda c: F.coalesce(F.col(c) == "title", F.lit(True))
     problems = F.array(
         F.when((F.col("role") == "chapterTitle") & ends("after"), "empty-chapter"),
@@ -121,7 +119,7 @@ def numbered_chapters(titles: DataFrame) -> DataFrame:
 
     # The row number keeps the filter above the parser: pushed below it, it would hold the whole parser again.
     rows = with_parsed_title(titles).withColumn("__row", F.monotonically_increasing_id()).filter("parsed IS NOT NULL AND __row >= 0").drop("__row")
-    return rows.withColumn("number", F.col("parsed.number")).withColumn("ordinal", F.row_number().over(IN_ORDER))
+    return rows.withColumn("number", F.col("parsed.number")).withColumn("ordinal", F.row_number().over(in_order()))
 
 
 def retitle(numbered: DataFrame, style: str = "keep", renumber: bool = True) -> DataFrame:
@@ -139,18 +137,18 @@ def check_numbers(numbered: DataFrame) -> DataFrame:
     A number is a duplicate if an earlier chapter has it; a gap is a number between neighbours that no chapter so far has;
     a chapter is out of order if its number is lower than the one before.
     """
-    w = IN_ORDER
+    w = in_order()
     n = F.col("number")
     rows = numbered.select("doc_id", "idx", "number", F.col("parsed.form").alias("form"), F.col("parsed.label").isNotNull().alias("labelled"))
     rows = rows.withColumn("prev", F.lag("number").over(w)).withColumn("seen", F.collect_set("number").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     missing = F.when(n > F.col("prev") + 1, F.array_except(F.sequence(F.col("prev") + 1, n - 1), F.col("seen"))).otherwise(F.array().cast("array<int>"))
     rows = rows.select("doc_id", "idx", "number", "form", "labelled", F.array_contains("seen", n).alias("dup"), (n < F.col("prev")).alias("low"), missing.alias("missing"))
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["v"])
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["v"])
     item = lambda v: F.struct("idx", v.alias("v"))
     return rows.groupBy("doc_id").agg(
         F.count("*").alias("numbered"),
-        F.array_distinct(in_order(F.when(F.col("dup"), item(n)))).alias("duplicates"),
-        F.array_distinct(F.flatten(in_order(item(F.col("missing"))))).alias("gaps"),
-        in_order(F.when(F.col("low"), item(n))).alias("out_of_order"),
+        F.array_distinct(listed(F.when(F.col("dup"), item(n)))).alias("duplicates"),
+        F.array_distinct(F.flatten(listed(item(F.col("missing"))))).alias("gaps"),
+        listed(F.when(F.col("low"), item(n))).alias("out_of_order"),
         ((F.count("*") > 1) & ((F.count_distinct("form") > 1) | (F.count_distinct("labelled") > 1))).alias("mixed"),
     )
