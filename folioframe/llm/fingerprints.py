@@ -11,27 +11,31 @@ from folioframe.llm.common import cut, table, text_of
 LEVELS = 13
 
 
-def gamma_quantiles(spark: SparkSession, log: bool) -> Column:
-    """A scalar subquery: the quantiles (i + 1/2) / 2**LEVELS of Gamma(2, 1), or their logarithms, by Newton's steps."""
+def gamma_tables(spark: SparkSession) -> DataFrame:
+    """Two rows (__which, __r, __log_c), each with the quantiles (i + 1/2) / 2**LEVELS of Gamma(2, 1) and their logarithms.
+
+    One row for the texts and one for the edited texts, by whose number they are broadcast: 128 KB each. The quantiles are
+    found by Newton's steps.
+    """
     p = f"((i + 0.5D) / {1 << LEVELS})"
     root = f"aggregate(sequence(1, 60), sqrt(2 * {p}), (x, n) -> x - ({p} - 1 + (1 + x) * exp(-x)) / (-x * exp(-x)))"
-    return spark.range(1).select(F.expr(f"transform(sequence(0, {(1 << LEVELS) - 1}), i -> {'ln' if log else ''}({root}))").alias("q")).scalar()
+    table_ = spark.range(2).select(F.col("id").cast("int").alias("__which"), F.expr(f"transform(sequence(0, {(1 << LEVELS) - 1}), i -> coalesce({root}, 0D))").alias("__r"))
+    return table_.withColumn("__log_c", F.expr("transform(__r, x -> coalesce(ln(x), 0D))"))
 
 
-def samples(spark: SparkSession, term: str, log_weight: str, count: int, seed: int) -> list[Column]:
+def samples(term: str, log_weight: str, count: int, seed: int) -> list[Column]:
     """For each of ``count`` samples, the logarithm of a in consistent weighted sampling, whose least value names the sample.
 
     With r and c from Gamma(2, 1) and beta from (0, 1), all from one hash of term and sample:
     t = floor(log_weight / r + beta), log a = log c - r * (t - beta + 1). As log a depends on the term and t alone, two
     documents have the same least value just where they draw the same (term, t): with the chance of their generalised
-    Jaccard similarity.
+    Jaccard similarity. The rows have the columns of ``gamma_tables``.
     """
-    r_of, log_c_of = gamma_quantiles(spark, False), gamma_quantiles(spark, True)
     mask, out = (1 << LEVELS) - 1, []
     for k in range(count):
         h = F.xxhash64(F.col(term), F.lit(seed * 1009 + k))
-        r = F.get(r_of, h.bitwiseAND(F.lit(mask)).cast("int"))
-        log_c = F.get(log_c_of, F.shiftright(h, LEVELS).bitwiseAND(F.lit(mask)).cast("int"))
+        r = F.get("__r", h.bitwiseAND(F.lit(mask)).cast("int"))
+        log_c = F.get("__log_c", F.shiftright(h, LEVELS).bitwiseAND(F.lit(mask)).cast("int"))
         beta = F.shiftrightunsigned(h, 2 * LEVELS).cast("double") * F.lit(2.0 ** -(64 - 2 * LEVELS))
         t = F.when(F.col(log_weight) == 0, F.lit(0.0)).otherwise(F.floor(F.col(log_weight) / r + beta).cast("double"))
         out.append(log_c - r * (t - beta + 1))
@@ -84,12 +88,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     both = rows.select("__b", "__rn", F.posexplode(F.array("__text", "__edited")).alias("__which", "__t"))
     words = both.select("__b", "__rn", "__which", F.explode(F.split("__t", r"[\x20\x09-\x0D]+")).alias("__word"))
-    terms = words.groupBy("__b", "__rn", "__which", F.when(F.col("__word") != "", F.xxhash64("__word")).alias("__term")).agg(F.ln(F.count("*")).alias("__w"))
-    least = [F.min(F.when(F.col("__term").isNotNull(), x)).alias(f"__s{k}") for k, x in enumerate(samples(spark, "__term", "__w", count, seed))]
-    drawn = terms.groupBy("__b", "__rn", "__which").agg(*least)
-    bits = [F.coalesce(F.xxhash64(f"__s{k}").bitwiseAND(F.lit(0xFFFF)).cast("int"), F.lit(0)) for k in range(count)]
+    terms = words.filter("__word <> ''").groupBy("__b", "__rn", "__which", F.xxhash64("__word").alias("__term")).agg(F.ln(F.count("*")).alias("__w"))
+    least = [F.min(x).alias(f"__s{k}") for k, x in enumerate(samples("__term", "__w", count, seed))]
+    drawn = terms.join(F.broadcast(gamma_tables(spark)), "__which").groupBy("__b", "__rn", "__which").agg(*least)
+    bits = [F.xxhash64(f"__s{k}").bitwiseAND(F.lit(0xFFFF)).cast("int") for k in range(count)]
     drawn = drawn.select("__b", "__rn", "__which", F.array(*bits).alias("__fp"))
-    drawn = cut(drawn.join(info, ["__b", "__rn"]))
+    info = info.withColumn("__which", F.explode(F.array(F.lit(0), F.lit(1))))
+    wordless = F.array_repeat(F.lit(0), count)
+    drawn = cut(info.join(drawn, ["__b", "__rn", "__which"], "left").withColumn("__fp", F.coalesce("__fp", wordless)))
 
     turn = Window.partitionBy("__b").orderBy("__rn", "__which")
     pairs = drawn.select("*", F.lead("__fp", 1).over(turn).alias("__edited_fp"), F.lead("__fp", 2).over(turn).alias("__next_fp")).filter("__which = 0")
