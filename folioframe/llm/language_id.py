@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,71 +33,131 @@ def script_of(word: str) -> int:
     return 0
 
 
-def grams_of(word: str, bins: int) -> list[int]:
-    """Hashed pieces of 1 to 4 characters of a word in lower case between marks of its ends, and the word itself."""
-    w = f"\x02{word.lower()}\x03"
-    parts = [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % bins for p in (*parts, w)]
+def grams_of(words: list[str], bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed pieces of 2 to 5 bytes of the words in lower case between marks of their ends, and the words as wholes.
 
+    Returns the bins of all pieces, word after word, and where each word's begin.
+    """
+    raw = [b"\x02" + w.lower().encode("utf-8", "surrogatepass") + b"\x03" for w in words]
+    data = np.frombuffer(b"".join(raw) + b"\0" * 5, dtype=np.uint8).astype(np.uint64)
+    sizes = np.array([len(w) for w in raw])
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data) - 5)
+    h = data[:-5] + np.uint64(0x100)
+    parts, owners = [], []
+    of = np.repeat(np.arange(len(words)), sizes)
+    for n in (2, 3, 4, 5):
+        h = h * np.uint64(0x100000001B3) + data[n - 1 : n - 1 + len(h)] + np.uint64(1)
+        inside = left >= n
+        parts.append(h[inside] ^ np.uint64(n << 56))
+        owners.append(of[inside])
+    parts.append(np.array([zlib.crc32(w) for w in raw], dtype=np.uint64))
+    owners.append(np.arange(len(words)))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    mixed = (np.concatenate(parts)[order] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+    starts = np.searchsorted(owner[order], np.arange(len(words)))
+    return (mixed % np.uint64(bins)).astype(np.int64), starts
+
+
+class WordScores(dict):
+    """Rows of word scores by word: log likelihoods by language less the largest, and the word's length.
+
+    ``learn`` scores new words together. Up to ``most`` words are remembered; then the memory starts anew.
+    """
 
-class WordScores:
-    """Log likelihoods of words by language, remembered for up to ``most`` words; then the memory starts anew."""
-
-    def __init__(self, model: dict, most: int = 400_000):
-        self.model, self.most, self.seen = model, most, {}
-
-    def of(self, word: str) -> np.ndarray:
-        found = self.seen.get(word)
-        if found is None:
-            if len(self.seen) >= self.most:
-                self.seen.clear()
-            found = self.model["logs"][grams_of(word, self.model["bins"])].sum(0)
-            fits = self.model["scripts"][script_of(word)]
-            found = np.where(fits, found, found.min() - 50.0) if fits.any() else np.zeros(len(found), np.float32)
-            self.seen[word] = found = (found - found.max()).astype(np.float32)
-        return found
+    def __init__(self, model: dict, most: int = 800_000):
+        super().__init__()
+        self.model, self.most = model, most
+        self.scores, self.sizes = np.zeros((1024, len(model["langs"])), np.float32), np.zeros(1024, np.float32)
+
+    def learn(self, texts: list[list[str]]) -> None:
+        if len(self) >= self.most:
+            self.clear()
+        new = list({w for words in texts for w in words if w not in self})
+        if not new:
+            return
+        n, m = len(self), len(self) + len(new)
+        while m > len(self.scores):
+            self.scores, self.sizes = np.concatenate([self.scores, np.zeros_like(self.scores)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        at, starts = grams_of(new, self.model["bins"])
+        found = np.add.reduceat(self.model["logs"][at], starts, axis=0)
+        fits = self.model["scripts"][[script_of(w) for w in new]]
+        found = np.where(fits, found, found.min(axis=1, keepdims=True) - 50.0)
+        found[~fits.any(axis=1)] = 0
+        self.scores[n:m] = found - found.max(axis=1, keepdims=True)
+        self.sizes[n:m] = [len(w) for w in new]
+        self.update(zip(new, range(n, m), strict=True))
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        at = [self[w] for w in words]
+        return self.scores[at], self.sizes[at]
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """The labels of the words whose sum of scores less ``penalty`` for each switch is the largest; ties to the first label.
+    """The labels of the words whose sum of scores less ``penalty`` for each switch is the largest.
+
+    Scores are at most 0, with 0 for a word's best label.
 
-    Where no run of words gains more than the penalty by another label than the best for all, that label holds
-    throughout: a path with j other runs gains at most j penalties and pays as many at least.
+    Where no run of words gains more than half the penalty by another label than the best for all, that label holds
+    throughout: a path with j other runs pays j - 1 penalties at least, and one of a single label gains nothing.
     """
     n, k = scores.shape
     best = int(scores.sum(0).argmax())
     gain = np.vstack([np.zeros((1, k)), np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64)])
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
+    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty / 2:
         return np.full(n, best)
-    value, back = scores[0].astype(np.float64), np.zeros((n, k), dtype=np.int32)
-    stay = np.arange(k)
-    for t in range(1, n):
-        top = int(value.argmax())
-        switch = value[top] - penalty
-        back[t] = np.where(value >= switch, stay, top)
-        value = np.maximum(value, switch) + scores[t]
+    rows, after = scores.tolist(), {}
+
+    def until(label: int, t: int) -> int:
+        """The first word from t on for which the label isn't the best."""
+        if label not in after:
+            places = np.where(scores[:, label] < 0, np.arange(n), n)
+            after[label] = np.minimum.accumulate(places[::-1])[::-1]
+        return int(after[label][t])
+
+    value, trail, t = rows[0], [], 1
+    while t < n:
+        top = max(value)
+        label, switch = value.index(top), top - penalty
+        if sum(v > switch for v in value) == 1 and (end := until(label, t)) > t:
+            # No other label is ahead of a switch, nor can be while this one is the best: all come from it at the end.
+            trail.append((t, end, label, None))
+            value = [switch + x for x in rows[end - 1]]
+            value[label] = top
+            t = end
+            continue
+        trail.append((t, t + 1, label, value))
+        value = [(v if v >= switch else switch) + x for v, x in zip(value, rows[t], strict=True)]
+        t += 1
     out = np.empty(n, dtype=np.int64)
-    out[-1] = int(value.argmax())
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
+    out[-1] = state = value.index(max(value))
+    for t, end, label, value in reversed(trail):
+        if value is None or value[state] < value[label] - penalty:
+            state = label
+        out[t - 1 : end - 1] = state
     return out
 
 
-def label_text(text: str | None, model: dict, words: WordScores) -> tuple[str, float, list[tuple[str, int, int]]]:
-    """The language of most letters, the share of letters in it weighed by certainty, and the spans (lang, start, end) in code points."""
-    found = list(WORD.finditer(text)) if text else []
+def label_text(text: str | None, found: list[str], model: dict, words: WordScores) -> tuple[str, float, list[tuple[str, int, int]]]:
+    """For a text and its words: the language of most letters, the share of letters in it weighed by certainty, and the spans (lang, start, end) in code points."""
     langs = model["langs"]
     if not found or not langs:
         return "und", 0.0, []
-    scores = np.array([words.of(m[0]) for m in found])
+    scores, sizes = words.of(found)
     path = viterbi(scores, model["penalty"])
-    sizes = np.array([m.end() - m.start() for m in found], dtype=np.float64)
     letters = np.bincount(path, weights=sizes, minlength=len(langs))
     top = int(letters.argmax())
-    own = scores[path == top].sum(0, dtype=np.float64)
+    changes = np.flatnonzero(np.diff(path)) + 1
+    if len(changes):
+        at = [m.span() for m in WORD.finditer(text)]
+        cuts = [0, *changes.tolist(), len(found)]
+        spans = [(langs[path[a]], at[a][0], at[b - 1][1]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        own = scores[path == top].sum(0, dtype=np.float64)
+    else:
+        last = found[-1]
+        spans = [(langs[top], text.index(found[0]), text.rindex(last) + len(last))]
+        own = scores.sum(0, dtype=np.float64)
     sure = 1.0 / np.exp(np.clip(own - own[top], -50, 50)).sum()
-    cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(found)]
-    spans = [(langs[path[a]], found[a].start(), found[b - 1].end()) for a, b in zip(cuts, cuts[1:], strict=False)]
     return langs[top], float(letters[top] / sizes.sum() * sure), spans
 
 
@@ -113,18 +174,15 @@ def fit_languages(docs: DataFrame, fit_rows: int = 12_000, bins: int = 1 << 16,
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, np.ndarray] = {}
-        seen: dict[str, np.ndarray] = {}
         for frame in frames:
-            for text, lang in zip(frame["__text"], frame["__lang"], strict=True):
+            for lang, texts in frame.groupby("__lang")["__text"]:
                 total = counts.setdefault(lang, np.zeros(bins + len(SCRIPTS) + 1, np.int64))
-                found = WORD.findall(text)
-                for w in found:
-                    if w not in seen:
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        seen[w] = np.array([*grams_of(w, bins), bins + script_of(w)], dtype=np.int32)
-                if found:
-                    total += np.bincount(np.concatenate([seen[w] for w in found]), minlength=len(total))
+                words = Counter(w for t in texts for w in WORD.findall(t))
+                if words:
+                    at, starts = grams_of(list(words), bins)
+                    times = np.fromiter(words.values(), dtype=np.int64, count=len(words))
+                    total[:bins] += np.bincount(at, weights=np.repeat(times, np.diff([*starts, len(at)])), minlength=bins).astype(np.int64)
+                    total[bins:] += np.bincount([script_of(w) for w in words], weights=times, minlength=len(SCRIPTS) + 1).astype(np.int64)
         for lang, total in counts.items():
             at = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "bin": at, "n": total[at]})
@@ -149,7 +207,13 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     def labelled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordScores(model)
         for frame in frames:
-            out = [label_text(t, model, words) for t in frame["__text"]]
+            out = []
+            for i in range(0, len(frame), 256):
+                texts = frame["__text"].iloc[i : i + 256].tolist()
+                found = [WORD.findall(t) if t else [] for t in texts]
+                if model["langs"]:
+                    words.learn(found)
+                out += [label_text(t, w, model, words) for t, w in zip(texts, found, strict=True)]
             yield pd.DataFrame({"__id": frame["__id"], "lang_pred": [x[0] for x in out], "score": [x[1] for x in out], "spans": [x[2] for x in out]})
 
     span = T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
