@@ -141,7 +141,7 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
 def label_text(text: str | None, found: list[str], model: dict, words: WordScores) -> tuple[str, float, list[tuple[str, int, int]]]:
     """For a text and its words: the language of most letters, the share of letters in it weighed by certainty, and the spans (lang, start, end) in code points."""
     langs = model["langs"]
-    if not found or not langs:
+    if not found or not langs or not any(map(str.isalpha, text)):
         return "und", 0.0, []
     scores, sizes = words.of(found)
     path = viterbi(scores, model["penalty"])
