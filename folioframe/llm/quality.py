@@ -94,16 +94,23 @@ def scores(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model["a"] * decision(model, x) + model["b"], -30, 30)))
 
 
-def calibrate(model: dict, x: np.ndarray, y: np.ndarray, steps: int = 60) -> dict:
-    """Platt's scaling of the decision to labelled rows, by Newton steps; a slope that isn't positive is not used."""
+def calibrate(model: dict, x: np.ndarray, y: np.ndarray, steps: int = 100) -> dict:
+    """Platt's scaling of the decision to labelled rows; a slope that isn't positive is not used.
+
+    Newton's steps on the smoothed targets, halved until the loss falls.
+    """
     f = decision(model, x)
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    z = np.stack([f, np.ones_like(f)], 1)
-    t = np.array([1.0, 0.0])
+    z, t = np.stack([f, np.ones_like(f)], 1), np.zeros(2)
+    loss = lambda t: (np.logaddexp(0, z @ t) - target * (z @ t)).sum() + 1e-3 * (t @ t)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ t, -30, 30)))
-        hess = (z * (p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2)
-        t = t - np.clip(np.linalg.solve(hess, z.T @ (p - target)), -2, 2)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 2e-3 * np.eye(2), z.T @ (p - target) + 2e-3 * t)
+        while loss(t - step) > loss(t) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        t = t - step
+        if np.abs(step).max() < 1e-7:
+            break
     return model | ({"a": float(t[0]), "b": float(t[1])} if t[0] > 0 else {})
 
 
