@@ -19,17 +19,22 @@ def analyze_blocks(blocks: DataFrame) -> DataFrame:
     return out.withColumn("role", F.col("auto_role"))
 
 
+def counted(blocks: DataFrame) -> DataFrame:
+    """Adds what summaries count in the text: quotes, spaces and contents_heading. With these the text itself can go."""
+    count = lambda pattern: F.regexp_count("text", F.lit(pattern))
+    return blocks.select("*", count("[\"']").alias("quotes"), count(" {2,}").alias("spaces"), P.is_contents_heading(F.col("text")).alias("contents_heading"))
+
+
 def summarize(blocks: DataFrame) -> DataFrame:
     """One row a document: the counts that reports and options read."""
+    blocks = blocks if "quotes" in blocks.columns else counted(blocks)
     is_role = lambda *r: F.col("auto_role").isin(*r)
     paragraph = (F.col("kind") == "paragraph") & ~F.col("is_empty")
     count = lambda c: F.count(F.when(c, 1))
+    total = lambda when, c: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
     return blocks.groupBy("doc_id").agg(
         F.sum("word_count").alias("words"), count(paragraph).alias("paragraphs"), count(is_role("chapterTitle")).alias("chapters"), count(is_role("partTitle")).alias("parts"), count(is_role("sceneBreak")).alias("scene_breaks"),
-        count(F.col("kind") == "table").alias("tables"), count(F.col("has_image")).alias("images"), F.sum("footnote_refs").alias("notes"), F.min("body_start").alias("body_start"),
-        F.coalesce(F.bool_or(P.is_contents_heading(F.col("text"))), F.lit(False)).alias("has_contents"),
-        F.coalesce(F.sum(F.when(paragraph, F.regexp_count("text", F.lit("[\"']")))), F.lit(0)).alias("straight_quotes"),
-        F.coalesce(F.sum(F.when(paragraph, F.regexp_count("text", F.lit(" {2,}")))), F.lit(0)).alias("double_spaces"),
-        F.coalesce(F.sum(F.when(paragraph & ~is_role(*HEADING_LIKE), F.col("underlined_runs"))), F.lit(0)).alias("underlined_runs"),
+        count(F.col("kind") == "table").alias("tables"), count(F.col("has_image")).alias("images"), F.sum("footnote_refs").alias("notes"), F.min("body_start").alias("body_start"), F.coalesce(F.bool_or("contents_heading"), F.lit(False)).alias("has_contents"),
+        total(paragraph, "quotes").alias("straight_quotes"), total(paragraph, "spaces").alias("double_spaces"), total(paragraph & ~is_role(*HEADING_LIKE), "underlined_runs").alias("underlined_runs"),
         count(needs_review("auto_role")).alias("uncertain"), count(F.col("image_min_dpi") < 300).alias("blurry"), count(F.col("image_min_dpi") >= 300).alias("sharp"), F.min("image_min_dpi").alias("worst_dpi"),
     )
