@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from folioframe.queries import ORACLES, QUERIES
+from folioframe.catalog import ORACLES, QUERIES
 from tests.helpers import normal, oracle
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
