@@ -27,10 +27,10 @@ def bands_for(similarity: float, recall: float, most_hashes: int = 160) -> tuple
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered for up to a million words."""
+    """64-bit hashes of words, remembered for up to 200,000 words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return out
