@@ -153,11 +153,11 @@ def test_pixel_sizes():
 
 
 def test_choices(spark):
-    good = '{"format":"manuscript-formatter-choices","version":2,"options":{"chapterStart":"oddPage","hyphenate":"no","renumberChapters":true},"overrides":[{"text":"a b","role":"body","index":3},{"text":"x","role":"nope"},{"text":"a  b","role":"empty"}]}'
-    rows = H.parse_choices(spark.createDataFrame([(1, good), (2, "junk")], "doc_id long, json string")).orderBy("doc_id").collect()
+    good = '{"format":"other-choices","version":2,"options":{"chapterStart":"oddPage","hyphenate":"no","renumberChapters":true},"overrides":[{"text":"a b","role":"body","index":3},{"text":"x","role":"nope"},{"text":"a  b","role":"empty"}]}'
+    rows = H.parse_choices(spark.createDataFrame([(1, good), (2, "junk"), (3, good.replace("other-", "unknown-"))], "doc_id long, json string"), tag="other-choices").orderBy("doc_id").collect()
     assert rows[0]["chapterStart"] == "oddPage" and rows[0]["hyphenate"] is True and rows[0]["renumberChapters"] is True
     assert [(o["text"], o["role"], o["index"]) for o in rows[0]["overrides"]] == [("a b", "body", 3), ("a  b", "empty", -1)]
-    assert rows[1]["is_choices"] is False and rows[1]["overrides"] is None
+    assert all(r["is_choices"] is False and r["overrides"] is None for r in rows[1:])
     drafts = spark.createDataFrame([(1, 0, "a b", "body"), (1, 4, " a  b ", "body"), (1, 2, "c", "body")], "doc_id long, idx int, text string, auto_role string")
     saved = spark.createDataFrame([(1, 0, "a b", "empty", 3), (1, 1, "a b", "body", 3), (1, 2, "a b", "body", 3)], "doc_id long, ord int, text string, role string, index int")
     got = {r["ord"]: (r["idx"], r["changes"]) for r in H.rebind(saved, drafts).collect()}
