@@ -169,16 +169,16 @@ def parsed_choices(spark, sf_dir):
     return rows.select("doc_id", "is_choices", "version", F.col("chapterStart").alias("chapter_start"), F.col("renumberChapters").alias("renumber"), F.when(F.col("is_choices"), F.size("overrides")).cast("long").alias("overrides"))
 
 
-@query(O.BLOCKS + f" SELECT doc_id, idx, {O.collapse('text')} AS text, 'body' AS role FROM blocks WHERE idx % 6 = 1 AND {O.collapse('text')} <> ''")
+@query(O.BLOCKS + f" SELECT doc_id, idx, {O.collapse('text')} AS text, 'body' AS role FROM blocks WHERE {O.collapse('text')} <> ''")
 def serialized_overrides(spark, sf_dir):
     blocks = _blocks(spark, sf_dir)
-    return H.serialize_overrides(blocks.filter("idx % 6 = 1").select("doc_id", "idx", F.lit("body").alias("role")), blocks)
+    return H.serialize_overrides(blocks.select("doc_id", "idx", F.lit("body").alias("role")), blocks)
 
 
-@query(O.ROLES + " SELECT role, count(*) AS n FROM (SELECT CASE WHEN idx % 11 = 3 THEN 'blockQuote' ELSE role END AS role FROM roles) GROUP BY role")
+@query(O.ROLES + " SELECT role, count(*) AS n FROM (SELECT CASE WHEN text = '* * *' THEN 'blockQuote' ELSE role END AS role FROM roles) GROUP BY role")
 def roles_with_overrides(spark, sf_dir):
     blocks = _analysed(spark, sf_dir).drop("role")
-    return S.effective_roles(blocks, _blocks(spark, sf_dir).filter("idx % 11 = 3").select("doc_id", "idx", F.lit("blockQuote").alias("role"))).groupBy("role").agg(F.count("*").alias("n"))
+    return S.effective_roles(blocks, _blocks(spark, sf_dir).filter("text = '* * *'").select("doc_id", "idx", F.lit("blockQuote").alias("role"))).groupBy("role").agg(F.count("*").alias("n"))
 
 
 @query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'oddPage' WHEN c_custkey % 3 = 0 THEN 'newPage' ELSE 'continuous' END AS chapter_start, c_custkey % 5 = 0 AS first_no_indent, c_custkey % 7 = 0 AS opener_no_header, c_custkey % 3 = 0 OR c_custkey % 5 = 0 AS hyphenate, c_custkey % 11 <> 0 AND c_custkey % 4 > 1 AS contents FROM customer")

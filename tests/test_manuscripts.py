@@ -164,6 +164,20 @@ def test_choices(spark):
     assert got == {0: (4, True), 1: (0, False), 2: (None, False)}
 
 
+def test_rebinding_against_plain_python(spark):
+    rng = random.Random(4)
+    drafts = [(d, i, rng.choice(["a", "b", "c d", ""]), rng.choice(["body", "empty"])) for d in range(15) for i in range(14)]
+    saved = [(d, k, rng.choice(["a", " c  d", "b", "new", ""]), rng.choice(["body", "empty"]), rng.randint(-1, 15)) for d in range(15) for k in range(8)]
+    want, taken = {}, set()
+    for d, k, text, role, at in saved:
+        free = [(abs(i - at), i, r) for e, i, t, r in drafts if e == d and " ".join(text.split()) == " ".join(t.split()) != "" and (d, i) not in taken]
+        best = min(free, default=None)
+        want[d, k] = (best and best[1], bool(best and best[2] != role))
+        taken.add((d, best[1])) if best else None
+    got = H.rebind(spark.createDataFrame(saved, "doc_id long, ord int, text string, role string, index int"), spark.createDataFrame(drafts, "doc_id long, idx int, text string, auto_role string")).collect()
+    assert {(r["doc_id"], r["ord"]): (r["idx"], r["changes"]) for r in got} == want
+
+
 @pytest.mark.parametrize("counts,want", [([3, 3, 1], 3), ([1, 2, 2, 1], 2)])
 def test_chapter_sink_prefers_the_larger(spark, counts, want):
     seq = [r for n in counts for r in (["empty"] * n + ["chapterTitle", "body"])]
