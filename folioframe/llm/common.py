@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,3 +114,16 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A step over data frames that hands its memory back when a task ends, as workers stay for tasks of other steps."""
+
+    def run(frames: Iterator) -> Iterator:
+        yield from step(frames)
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # there is no malloc_trim but in the GNU C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import bitmap, components, cut, marked, table, text_of
+from folioframe.llm.common import bitmap, components, cut, marked, table, text_of, tidy
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out.append((xxhash.xxh3_128_hexdigest(grams.tobytes()), len(grams), signatures.of(grams)))
             yield pd.DataFrame({"__id": frame["__id"], "__row": frame["__row"], "__set": [x[0] for x in out], "__size": [x[1] for x in out], "__bands": [x[2] for x in out]})
 
-    every = cut(base.mapInPandas(hashed, f"__id {kind}, __row long, __set string, __size long, __bands array<long>"))
+    every = cut(base.mapInPandas(tidy(hashed), f"__id {kind}, __row long, __set string, __size long, __bands array<long>"))
     classes = every.groupBy("__set").agg(F.count("*").alias("__n"), F.max("__id").alias("__copy"), F.max("__size").alias("__size"), F.min(F.struct("__row", "__bands")).alias("__r"))
     classes = cut(classes.select("__set", "__n", "__copy", "__size", F.col("__r.__row").alias("__rep"), F.col("__r.__bands").alias("__bands")))
     members = classes.filter("__size > 0").select("__rep", F.posexplode("__bands").alias("__j", "__band")).select("__rep", F.xxhash64("__j", "__band").alias("__bucket"))
@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     held[rep] = (gram_hashes(text, n, hashes), band, weight, part)
         yield from flush()
 
-    links = cut(sent.mapInPandas(checked, "__rep long, __links long, __root long"))
+    links = cut(sent.mapInPandas(tidy(checked), "__rep long, __links long, __root long"))
     counts = links.groupBy("__rep").agg(F.sum("__links").alias("__links"))
     joined = components(links.select(F.col("__rep").alias("a"), F.col("__root").alias("b"))).withColumnRenamed("node", "__rep")
     copies = classes.select("__set", "__n", "__copy", "__rep").join(counts, "__rep", "left").join(joined, "__rep", "left")
