@@ -86,24 +86,24 @@ def _class(chars: str) -> str:
     return "".join("\\" + c if c in r"\]^-[&*+.#" else c for c in chars)
 
 
-def is_scene_break(text: Column) -> Column:
+def is_scene_break(text: Column, is_trimmed: bool = False) -> Column:
     """Strong ornaments alone, or at least three weak ones; short either way."""
-    t = trimmed(text)
+    t = text if is_trimmed else trimmed(text)
     dense = F.regexp_replace(t, f"[{WS}]+", "")
     only = lambda chars: dense.rlike(f"^[{_class(chars)}]+$")
     return F.length(t).between(1, 24) & (F.length(dense) <= 9) & (only(STRONG_ORNAMENTS) | (only(WEAK_ORNAMENTS) & (F.length(dense) >= 3)))
 
 
-def label_kind(text: Column) -> Column:
+def label_kind(text: Column, is_trimmed: bool = False) -> Column:
     """part, chapter, frontMatter or backMatter: the first kind with a word that opens the line and ends there; else null."""
-    t = trimmed(text)
+    t = text if is_trimmed else trimmed(text)
     opens = lambda words: t.rlike(rf"(?iu)^(?:{'|'.join(words)})(?![\p{{L}}\p{{N}}])")
     return F.when(opens(PART_WORDS), "part").when(opens(CHAPTER_WORDS), "chapter").when(opens(FRONT_WORDS), "frontMatter").when(opens(BACK_WORDS), "backMatter")
 
 
-def number_confidence(text: Column) -> Column:
+def number_confidence(text: Column, is_trimmed: bool = False) -> Column:
     """How sure it is that a line is nothing but a number; null if it isn't one."""
-    t = trimmed(F.regexp_replace(trimmed(text), r"[.:—–-]+$", ""))
+    t = trimmed(F.regexp_replace(text if is_trimmed else trimmed(text), r"[.:—–-]+$", ""))
     words = F.split(F.lower(t), f"[{WS}-]+")
     known = F.array(*map(F.lit, number_words()))
     spelled = (F.size(words) <= 2) & F.forall(words, lambda w: F.array_contains(known, w))
@@ -123,8 +123,8 @@ def _any(text: Column, patterns: tuple[str, ...]) -> Column:
     return out
 
 
-def looks_like_copyright(text: Column) -> Column:
-    t = trimmed(text)
+def looks_like_copyright(text: Column, is_trimmed: bool = False) -> Column:
+    t = text if is_trimmed else trimmed(text)
     return F.length(t).between(1, 600) & _any(t, COPYRIGHT_MARKERS)
 
 
@@ -132,9 +132,9 @@ def is_placeholder(text: Column) -> Column:
     return _any(text, PLACEHOLDERS)
 
 
-def is_heading_case(text: Column) -> Column:
+def is_heading_case(text: Column, is_trimmed: bool = False) -> Column:
     """All capitals, or at least four in five of the words that matter start with one."""
-    t = trimmed(text)
+    t = text if is_trimmed else trimmed(text)
     words = F.filter(F.split(t, f"[{WS}]+"), lambda w: w.rlike("[A-Za-z]"))
     minor = F.array(*map(F.lit, MINOR_WORDS.split()))
     significant = F.filter(words, lambda w, i: (i == 0) | ~F.array_contains(minor, F.lower(w)))
@@ -143,8 +143,8 @@ def is_heading_case(text: Column) -> Column:
     return (t != "") & (((t == F.upper(t)) & t.rlike("[A-Z]")) | share)
 
 
-def ends_like_sentence(text: Column) -> Column:
-    return trimmed(text).rlike("[.!?…][\"'”’)\\]]?$")
+def ends_like_sentence(text: Column, is_trimmed: bool = False) -> Column:
+    return (text if is_trimmed else trimmed(text)).rlike("[.!?…][\"'”’)\\]]?$")
 
 
 def is_contents_heading(text: Column) -> Column:

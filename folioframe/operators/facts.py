@@ -19,18 +19,20 @@ DEFAULTS = {
 def paragraph_facts(blocks: DataFrame) -> DataFrame:
     """Adds the derived facts to (doc_id, idx, text, ...): trimmed, word_count, is_empty, all_caps, has_tab_indent and so on.
 
-    Each pattern is evaluated once, as a column that all later rules read.
+    Each pattern is evaluated once, as a column that all later rules read. heading_case is judged for up to twelve words,
+    as no rule asks for more.
     """
     out = blocks.select("*", *[F.lit(value).cast(kind).alias(name) for name, (kind, value) in DEFAULTS.items() if name not in blocks.columns])
     out = out.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("trimmed", P.trimmed(F.col("text")))
     t, is_table = F.col("trimmed"), F.col("kind") == "table"
+    out = out.withColumn("word_count", F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"[{P.WS}]+"))))
     return out.select(
         "*",
-        P.count_words(F.col("text")).alias("word_count"), F.length("trimmed").alias("char_count"), ((t == "") & ~is_table).alias("is_empty"),
+        F.length("trimmed").alias("char_count"), ((t == "") & ~is_table).alias("is_empty"),
         (F.col("runs_caps") | ((t == F.upper(t)) & t.rlike("[A-Z]"))).alias("all_caps"), F.col("text").rlike(r"^[\t ]+\S").alias("has_tab_indent"),
         F.when(is_table, "[table]").otherwise(P.preview(F.col("text"))).alias("preview"),
-        P.is_scene_break(t).alias("is_ornament"), P.label_kind(t).alias("label"), P.number_confidence(t).alias("number_conf"), P.looks_like_copyright(t).alias("is_copyright"),
-        P.is_heading_case(t).alias("heading_case"), P.ends_like_sentence(t).alias("ends_sentence"),
+        P.is_scene_break(t, True).alias("is_ornament"), P.label_kind(t, True).alias("label"), P.number_confidence(t, True).alias("number_conf"), P.looks_like_copyright(t, True).alias("is_copyright"),
+        ((F.col("word_count") <= 12) & P.is_heading_case(t, True)).alias("heading_case"), P.ends_like_sentence(t, True).alias("ends_sentence"),
     )
 
 

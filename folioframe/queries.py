@@ -77,7 +77,7 @@ def standalone_numbers(spark, sf_dir):
 @query(O.FACTS + " SELECT doc_id, idx, is_copyright, is_placeholder, heading_case, ends_sentence FROM facts WHERE NOT is_empty")
 def line_traits(spark, sf_dir):
     rows = _facts(spark, sf_dir).filter("NOT is_empty")
-    return rows.select("doc_id", "idx", "is_copyright", P.is_placeholder(F.col("text")).alias("is_placeholder"), "heading_case", "ends_sentence")
+    return rows.select("doc_id", "idx", "is_copyright", P.is_placeholder(F.col("text")).alias("is_placeholder"), P.is_heading_case(F.col("text")).alias("heading_case"), "ends_sentence")
 
 
 @query(O.CONTEXT + " SELECT doc_id, idx, broken_before, blank_before, is_first_block, median_prose_words FROM context")
