@@ -77,8 +77,8 @@ def count_words(text: Column) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"[{WS}]+")))
 
 
-def preview(text: Column, most: int = 140) -> Column:
-    t = collapsed(text)
+def preview(text: Column, most: int = 140, is_collapsed: bool = False) -> Column:
+    t = text if is_collapsed else collapsed(text)
     return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most - 1), F.lit("…"))).otherwise(t)
 
 
@@ -117,10 +117,10 @@ def number_confidence(text: Column, is_trimmed: bool = False) -> Column:
 
 
 def _any(text: Column, patterns: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | text.rlike(p)
-    return out
+    """Whether any pattern is found: those that ignore case in one search, the others in another."""
+    groups = [(flag, [p.removeprefix("(?i)") for p in patterns if p.startswith("(?i)") == bool(flag)]) for flag in ("(?i)", "")]
+    found = [text.rlike(flag + "|".join(f"(?:{p})" for p in ps)) for flag, ps in groups if ps]
+    return found[0] | found[1] if len(found) > 1 else found[0]
 
 
 def looks_like_copyright(text: Column, is_trimmed: bool = False) -> Column:

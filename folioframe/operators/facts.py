@@ -25,12 +25,13 @@ def paragraph_facts(blocks: DataFrame) -> DataFrame:
     out = blocks.select("*", *[F.lit(value).cast(kind).alias(name) for name, (kind, value) in DEFAULTS.items() if name not in blocks.columns])
     out = out.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("trimmed", P.trimmed(F.col("text")))
     t, is_table = F.col("trimmed"), F.col("kind") == "table"
-    out = out.withColumn("word_count", F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"[{P.WS}]+"))))
+    out = out.withColumn("__line", F.regexp_replace("trimmed", f"[{P.WS}]+", " "))
+    out = out.withColumn("word_count", F.when(t == "", F.lit(0)).otherwise(F.length("__line") - F.length(F.replace("__line", F.lit(" "))) + 1))
     return out.select(
-        "*",
+        *[c for c in out.columns if c != "__line"],
         F.length("trimmed").alias("char_count"), ((t == "") & ~is_table).alias("is_empty"),
         (F.col("runs_caps") | ((t == F.upper(t)) & t.rlike("[A-Z]"))).alias("all_caps"), F.col("text").rlike(r"^[\t ]+\S").alias("has_tab_indent"),
-        F.when(is_table, "[table]").otherwise(P.preview(F.col("text"))).alias("preview"),
+        F.when(is_table, "[table]").otherwise(P.preview(F.col("__line"), is_collapsed=True)).alias("preview"),
         P.is_scene_break(t, True).alias("is_ornament"), P.label_kind(t, True).alias("label"), P.number_confidence(t, True).alias("number_conf"), P.looks_like_copyright(t, True).alias("is_copyright"),
         ((F.col("word_count") <= 12) & P.is_heading_case(t, True)).alias("heading_case"), P.ends_like_sentence(t, True).alias("ends_sentence"),
     )
