@@ -17,8 +17,8 @@ from folioframe.llm.common import cut, table, text_of
 def byte_pair_encoder(path: str):
     """The encoder of a byte-level BPE file in the JSON format of the tokenizers library.
 
-    The file's vocabulary is run by tiktoken, which gives the same ids several times faster; texts of special tokens are
-    ordinary text.
+    The file's vocabulary is run by tiktoken, which gives the same ids several times faster. Where a text holds an added
+    token's content, ``encode`` with all special tokens allowed gives that token's id, as the library does.
     """
     import tiktoken
 
@@ -26,10 +26,13 @@ def byte_pair_encoder(path: str):
         model = json.load(f)
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    special = {x["content"] for x in model.get("added_tokens", [])}
+    added = model.get("added_tokens", [])
+    if any(x[k] for x in added for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that look at the text around them")
+    special = {x["content"]: x["id"] for x in added}
     ranks = {bytes(chars[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, size: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -43,7 +46,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int, end_id: int, id_col: s
         for frame in frames:
             out = []
             for key, text in zip(frame["__id"], frame["__text"], strict=True):
-                ids = np.array([*encoder.encode_ordinary(text), end_id], dtype="<u4")
+                ids = np.array([*encoder.encode(text, allowed_special="all"), end_id], dtype="<u4")
                 ends = list(range((len(ids) - 1) % size + 1, len(ids) + 1, size))
                 out += [(key, i, b - a, a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
             columns = list(zip(*out, strict=True)) or [[]] * 5

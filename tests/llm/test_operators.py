@@ -318,6 +318,24 @@ def test_encoder_gives_the_tokenizers_ids():
     assert all(own.encode(t, add_special_tokens=False).ids == fast.encode_ordinary(t) for t in texts)
 
 
+def test_packing_gives_added_tokens_their_ids(spark):
+    tokenizers, public_tokenizers = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(2)
+    own, fast = tokenizers.Tokenizer.from_file(path), packing.byte_pair_encoder(path)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", "<|", " ", "  \n", "a", "it's", "é", "7"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", *("".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(500))]
+    assert fast.encode(texts[0], allowed_special="all") == [64, 220, 50256, 275]
+    want = Counter()
+    for i, t in enumerate(texts):
+        x = [*own.encode(t, add_special_tokens=False).ids, 0]
+        first = (len(x) - 1) % 16 + 1
+        for k, a in enumerate([0, *range(first, len(x), 16)]):
+            b = first if k == 0 else a + 16
+            want[(i, k, a, b - a, zlib.crc32(np.array(x[a:b], "<u4").tobytes()))] += 1
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, size=16).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want
+
+
 def junk(rng):
     return rng.choice([lambda: " | ".join(rng.choices(WORDS, k=60)), lambda: " ".join(["Amber"] * 80), lambda: " ".join(w.upper() + "!!" for w in rng.choices(WORDS, k=70)), lambda: " ".join(w + "###" for w in rng.choices(WORDS, k=70))])()
 
