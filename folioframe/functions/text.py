@@ -16,7 +16,7 @@ YEAR = r"(?i)(?:©|\(c\)|copyright)\s*(?:©\s*)?(\d{4})|\b(\d{4})\s*(?:by\b)"
 BY_LINE = r"(?i)^(?:by|written by)\s+(.{2,80})$"
 COPYRIGHT_NAME = r"(?i)(?:©|\(c\)|copyright)\s*(?:©\s*)?\d{4}\s*,?\s*(?:by\s+)?(.{2,80}?)\s*$"
 ISBN = r"\bISBN(?:-1[03])?:?\s*((?:97[89][-\s]?)?[\d][\d\-\s]{7,20}[\dXx])"
-OPENS_QUOTE = r"[\s(\[{<—–“‘ \-]"
+OPENS_QUOTE = f"[{WS}(\\[{{<—–“‘\\-]"
 # End of fixed values.
 
 
@@ -54,20 +54,19 @@ def lead_in_length(text: Column) -> Column:
 def smarten(text: Column, before: Column | None = None) -> Column:
     """Dashes, ellipses and curly quotes. ``before`` is the last character of the run before, if any.
 
-    Quotes are told apart by the character before as typed, which a fold over the characters carries along.
+    Quotes are told apart by the character before as typed: one that doesn't open goes first, and closing marks, like
+    typed ones, open nothing, so what is left then opens.
     """
     t = F.regexp_replace(text, r"(\S)---(\S)", "$1—$2")
     t = F.regexp_replace(t, r"(\S)--(\S)", "$1—$2")
     t = F.regexp_replace(F.regexp_replace(t, " -- ", "—"), r"\.\.\.", "…")
-    start = before if before is not None else F.lit("")
-    state = F.struct(F.lit("").alias("out"), start.alias("prev"))
-
-    def step(s: Column, c: Column) -> Column:
-        opens = (s["prev"] == "") | s["prev"].rlike(OPENS_QUOTE)
-        new = F.when(c == '"', F.when(opens, "“").otherwise("”")).when(c == "'", F.when(s["prev"].rlike("[A-Za-z0-9]"), "’").when(opens, "‘").otherwise("’")).otherwise(c)
-        return F.struct(F.concat(s["out"], new).alias("out"), c.alias("prev"))
-
-    return F.aggregate(F.filter(F.split(t, ""), lambda c: c != ""), state, step, lambda s: s["out"])
+    if before is not None:
+        before = F.coalesce(before, F.lit("x"))
+        t = F.concat(before, t)
+    for mark, closing in (('"', "”"), ("'", "’")):
+        t = F.regexp_replace(t, f"(?<=[^{OPENS_QUOTE[1:]}){mark}", closing)
+    t = F.translate(t, "\"'", "“‘")
+    return t if before is None else F.substr(t, F.length(before) + 1)
 
 
 def collapse_spaces(text: Column) -> Column:

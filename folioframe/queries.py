@@ -308,6 +308,18 @@ def typographic_text(spark, sf_dir):
     return rows.select("doc_id", "idx", T.smarten(F.col("text")).alias("text"))
 
 
+@query(
+    O.FACTS
+    + f""", dashed AS (SELECT doc_id, idx, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(\\S)---(\\S)', '\\1—\\2', 'g'), '(\\S)--(\\S)', '\\1—\\2', 'g'), ' -- ', '—', 'g'), '\\.\\.\\.', '…', 'g'), '(?s).') AS c FROM facts WHERE NOT is_empty
+    ), pairs AS (SELECT doc_id, idx, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS mark, unnest(list_concat([''], c[:-2])) AS prev FROM dashed
+    ), curled AS (SELECT doc_id, idx, i, prev = '' OR regexp_matches(prev, '[{O.WS}(\\[{{<—–“‘-]') AS opens, mark, prev FROM pairs)
+    SELECT doc_id, idx, string_agg(CASE WHEN mark = '"' THEN CASE WHEN opens THEN '“' ELSE '”' END WHEN mark = '''' THEN CASE WHEN opens AND NOT regexp_matches(prev, '[A-Za-z0-9]') THEN '‘' ELSE '’' END ELSE mark END, '' ORDER BY i) AS text FROM curled GROUP BY doc_id, idx"""
+)
+def typographic_paragraphs(spark, sf_dir):
+    """All paragraphs with text, those with quotes too, which ``typographic_text`` and its SQL leave out."""
+    return _facts(spark, sf_dir).filter("NOT is_empty").select("doc_id", "idx", T.smarten(F.col("text")).alias("text"))
+
+
 @query(
     """WITH pages AS (SELECT o_orderkey AS id, (4 + o_orderkey % 9 / 2.0)::DOUBLE AS w, (6 + o_orderkey % 13 / 2.0)::DOUBLE AS h, (o_custkey % 90000 + 100)::DOUBLE AS words FROM orders)
     SELECT id, greatest(1, floor(words / ((w / (325e-2 * (11e0 / 72e0))) * (h / ((11e0 * 115e-2) / 72e0))) + 5e-1))::INTEGER AS pages FROM pages"""

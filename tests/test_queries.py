@@ -1,6 +1,7 @@
 """Every manuscript query with SQL gives DuckDB's rows on the smallest tables."""
 
 import os
+import re
 
 import pytest
 
@@ -21,3 +22,26 @@ def test_greedy_rebinding_takes_each_paragraph_once(spark):
     rows = QUERIES["greedy_choices"](spark, SF).toPandas()
     bound = rows.dropna(subset=["idx"])
     assert len(bound) and not bound.duplicated(["doc_id", "idx"]).any()
+
+
+def typeset(text):
+    """Dashes, ellipses and quotes as the rules have them, character by character."""
+    out = text
+    for a, b in ((r"(\S)---(\S)", "\\1—\\2"), (r"(\S)--(\S)", "\\1—\\2"), (" -- ", "—"), (r"\.\.\.", "…")):
+        out = re.sub(a, b, out)
+    made = []
+    for prev, c in zip(["", *out], out, strict=False):
+        opens = prev == "" or prev.isspace() or prev in "([{<—–“‘-"
+        made.append({'"': "“" if opens else "”", "'": "‘" if opens else "’"}.get(c, c))
+    return "".join(made)
+
+
+def test_typographic_paragraphs_keeps_those_with_quotes(spark, tmp_path):
+    lines = ['"Hi," she said -- "it\'s me."', "'Tis the dogs' day...", 'He said ("no") -- \'"Never," he said\'', 'plain--words', 'x\u00a0"y" [\'z\']', '"', "''", 'é\'s 7\'s "', '😀"a" \u3000\'b\'']
+    spark.createDataFrame([(i, "\n".join(lines[i:] + lines[:i])) for i in range(9)] + [(9, None)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "raw"))
+    next((tmp_path / "raw").glob("part-*")).rename(tmp_path / "documents.parquet")
+    got, want = QUERIES["typographic_paragraphs"](spark, str(tmp_path)).toPandas(), oracle(ORACLES["typographic_paragraphs"], str(tmp_path))
+    assert normal(got) == normal(want)
+    source = [r["text"] for r in QUERIES["manuscript_paragraphs"](spark, str(tmp_path)).collect() if r["text"].strip()]
+    assert sum("'" in t or '"' in t for t in source) >= 70
+    assert sorted(got["text"]) == sorted(map(typeset, source))
