@@ -225,7 +225,36 @@ def preflight_worst_level(spark, sf_dir):
     SELECT n.doc_id, n.title, n.author, CASE WHEN s.subtitle IS DISTINCT FROM n.title THEN s.subtitle END AS subtitle FROM named n LEFT JOIN subs s USING (doc_id)"""
 )
 def book_details(spark, sf_dir):
-    return D.detect_details(_analysed(spark, sf_dir).withColumn("role", F.when(F.col("role") != "copyright", F.col("role")))).select("doc_id", "title", "author", "subtitle")
+    return D.detect_details(_analysed(spark, sf_dir)).select("doc_id", "title", "author", "subtitle")
+
+
+_NOT_A_NAME = "'(?i)^(a novel|a memoir|a story|stories|copyright|all rights|first edition|isbn|printed|published|www\\.|http)'"
+_BY_LINE = "'(?i)^(?:by|written by)\\s+(.{2,80})$'"
+_NOTICE_YEAR = "'(?i)(?:©|\\(c\\)|copyright)\\s*(?:©\\s*)?(\\d{4})|\\b(\\d{4})\\s*(?:by\\b)'"
+_NOTICE_NAME = "'(?i)(?:©|\\(c\\)|copyright)\\s*(?:©\\s*)?\\d{4}\\s*,?\\s*(?:by\\s+)?(.{2,80}?)\\s*$'"
+_NOTICE_ISBN = "'\\bISBN(?:-1[03])?:?\\s*((?:97[89][-\\s]?)?\\d[\\d\\-\\s]{7,20}[\\dXx])'"
+
+
+def _tidied(x: str) -> str:
+    return f"nullif(regexp_replace({O.collapse(x)}, '[.,;]+$', ''), '')"
+
+
+@query(
+    O.ROLES
+    + f""", matter AS (SELECT doc_id, idx, role, word_count, trimmed, {_tidied("text")} AS line, {_tidied(f"regexp_extract(trimmed, {_BY_LINE}, 1)")} AS by_line, {_tidied(f"regexp_extract(trimmed, {_NOTICE_NAME}, 1)")} AS name,
+        coalesce(nullif(regexp_extract(text, {_NOTICE_YEAR}, 1), ''), nullif(regexp_extract(text, {_NOTICE_YEAR}, 2), '')) AS year, regexp_replace(regexp_extract(text, {_NOTICE_ISBN}, 1), '\\s+', '', 'g') AS number
+        FROM roles WHERE role IN ('frontMatterTitle', 'frontMatter', 'copyright') AND NOT is_empty
+    ), said AS (SELECT doc_id, min(idx) FILTER (role = 'frontMatterTitle') AS title_idx, arg_min(line, idx) FILTER (role = 'frontMatterTitle') AS title,
+        coalesce(arg_min(by_line, idx) FILTER (role <> 'copyright'), arg_min(name, idx) FILTER (role = 'copyright')) AS named, arg_min(year, idx) FILTER (role = 'copyright') AS copyright_year,
+        arg_min(number, idx) FILTER (role = 'copyright' AND length(regexp_replace(number, '[^0-9Xx]', '', 'g')) IN (10, 13)) AS isbn FROM matter GROUP BY doc_id
+    ), under AS (SELECT l.* FROM matter l JOIN said USING (doc_id) WHERE idx > title_idx AND role <> 'copyright' AND word_count > 0 AND NOT regexp_matches(trimmed, {_NOT_A_NAME})
+    ), written AS (SELECT s.*, coalesce(named, (SELECT arg_min(line, idx) FROM under u WHERE u.doc_id = s.doc_id AND word_count <= 8)) AS author FROM said s
+    ), subs AS (SELECT u.doc_id, arg_min(line, idx) AS sub FROM under u JOIN written USING (doc_id) WHERE line <> author AND word_count <= 15 AND NOT regexp_matches(trimmed, {_BY_LINE}) GROUP BY u.doc_id)
+    SELECT w.doc_id, title, author, copyright_year, isbn, CASE WHEN sub IS DISTINCT FROM title THEN sub END AS subtitle FROM written w LEFT JOIN subs USING (doc_id)"""
+)
+def front_matter_details(spark, sf_dir):
+    """The details with the year and ISBN of the copyright notice, which the SQL of ``book_details`` doesn't read."""
+    return D.detect_details(_analysed(spark, sf_dir)).select("doc_id", "title", "author", "copyright_year", "isbn", "subtitle")
 
 
 @query(
