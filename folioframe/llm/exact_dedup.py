@@ -21,11 +21,11 @@ def surviving_prefixes(docs: DataFrame, text_col: str = "text", prefix_chars: in
     return cut(bitmap(pairs, F.struct("__len", "__prefix"), bits))
 
 
-def _refined(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, bits: int, digest: bool) -> DataFrame:
+def _refined(docs: DataFrame, words: DataFrame, id_col: str, text_col: str, prefix_chars: int, bits: int, digest: bool) -> DataFrame:
     """Rows (__id, __sha, __n, __keep, __kept); __sha is null where the text was not hashed, which proves it unique."""
     rows = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"))
     rows = rows.withColumn("__len", F.octet_length("__text")).withColumn("__prefix", F.xxhash64(F.substring("__text", 1, prefix_chars)))
-    rows = marked(rows, F.struct("__len", "__prefix"), surviving_prefixes(docs, text_col, prefix_chars, bits), bits, "__hit")
+    rows = marked(rows, F.struct("__len", "__prefix"), words, bits, "__hit")
     full = F.sha2(F.col("__text").cast("binary"), 256)
     rows = rows.withColumn("__sha", F.when(F.lit(digest) | F.col("__hit"), full)).withColumn("__row", F.monotonically_increasing_id())
     rows = cut(rows.select("__id", "__len", "__hit", "__sha", "__row"))
@@ -46,7 +46,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     broadcast of at most ``2 ** (bits - 6)`` rows. A bit that is set by chance only costs a hash: groups are formed by
     length and SHA-256. Other columns of ``docs`` are ignored, whatever their names. An empty table gives an empty result.
     """
-    out = _refined(docs, id_col, text_col, prefix_chars, bits, digest)
+    out = _refined(docs, surviving_prefixes(docs, text_col, prefix_chars, bits), id_col, text_col, prefix_chars, bits, digest)
     columns = [F.col("__id").alias(id_col), F.col("__keep").alias("keep_id"), F.col("__n").alias("group_size"), F.col("__kept").alias("kept")]
     return out.select(*columns, *([F.col("__sha").alias("text_sha256")] if digest else []))
 
@@ -54,11 +54,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, bits: int = 22) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts, the row with the largest id.
 
-    Of rows that share both id and text one stays, any of them if their other columns differ.
+    Of rows that share both id and text one stays, any of them if their other columns differ. Here too only rows whose
+    (length, prefix hash) survives are hashed; the others have no hash and so match no row that goes.
     """
-    copies = _refined(docs, id_col, text_col, prefix_chars, bits, False).filter("__n > 1")
+    words = surviving_prefixes(docs, text_col, prefix_chars, bits)
+    copies = _refined(docs, words, id_col, text_col, prefix_chars, bits, False).filter("__n > 1")
     fates = cut(copies.groupBy("__id", "__sha").agg(F.bool_or("__kept").alias("__stays"), F.count("*").alias("__rows")).filter("NOT __stays OR __rows > 1"))
-    rows = docs.withColumn("__hash", F.sha2(text_of(text_col).cast("binary"), 256))
+    pair = F.struct(F.octet_length(text_of(text_col)).alias("__len"), F.xxhash64(F.substring(text_of(text_col), 1, prefix_chars)).alias("__prefix"))
+    rows = marked(docs, pair, words, bits, "__hit").withColumn("__hash", F.when(F.col("__hit"), F.sha2(text_of(text_col).cast("binary"), 256)))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__sha"))
     out = rows.join(fates, same, "left_anti").select(*docs.columns)
     repeated = fates.filter("__stays")

@@ -78,6 +78,15 @@ def test_drop_exact_copies(docs, nothing):
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def test_drop_exact_copies_hashes_only_what_may_repeat(spark, capfd):
+    df = spark.createDataFrame([(i, "x" * (i + 1)) for i in range(20)] + [(20, "x"), (21, None), (22, "")], "doc_id long, text string")
+    out = exact_dedup.drop_exact_copies(df)
+    assert sorted(r["doc_id"] for r in out.collect()) == [*range(1, 21), 22]
+    out.explain("extended")
+    plan = capfd.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.count("sha2(") == plan.count("THEN sha2(") > 0
+
+
 def similarity(a, b):
     a, b = Counter(SPACE.findall(a)), Counter(SPACE.findall(b))
     most = sum((a | b).values())
