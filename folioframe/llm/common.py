@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,16 +32,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the session's shared checkpoint folder, with its lineage cut.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests on one machine) is a local one made.
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes the files once nothing refers to them.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a local one on one machine and an error on a cluster."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioframe-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="folioframe-"))
     return context.getCheckpointDir()
 
 
@@ -101,12 +106,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return cut(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots))
 
 
-def stored(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
-    """``df`` written as Parquet to the shared checkpoint folder and read again, and where it lies."""
+def stored(df: DataFrame, name: str = "table", *by: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet, in a folder for each value of ``by``, to the shared checkpoint folder and read again, and where it lies."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path), path
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -405,15 +405,44 @@ def test_line_dedup(spark, nothing):
         want[(low(i), "\n".join(kept), len(lines), len(lines) - len(kept))] += 1
     assert any(k[3] for k in want)
     df = spark.createDataFrame(rows, "doc_id long, text string, n_lines string")
-    for batches, fan_in in ((1, 2), (5, 2), (7, 3)):
-        out = line_dedup.line_dedup(df, batches=batches, fan_in=fan_in).collect()
+    for first_docs, growth, fan_in in ((512, 16, 4), (3, 2, 2), (9, 3, 3)):
+        out = line_dedup.line_dedup(df, first_docs=first_docs, growth=growth, fan_in=fan_in, bits=10).collect()
         assert Counter((low(r["doc_id"]), r["kept_text"], r["n_lines"], r["n_dropped"]) for r in out) == want
     assert line_dedup.line_dedup(nothing).count() == 0
+    assert line_dedup.line_dedup(df.filter("doc_id IN (50, 51)")).agg(F.sum("n_lines"), F.sum("n_dropped")).first()[:] == (2, 0)
 
 
 def test_runs_compact_and_tell_novel_keys(spark):
-    runs = line_dedup.LineRuns(2)
+    runs = line_dedup.LineRuns(spark, 2)
     rows = spark.createDataFrame([(i, bytes([i % 5])) for i in range(20)], "__id long, __key binary").cache()
-    novel = [runs.add(rows.filter(f"__id % 4 = {k}")).count() for k in range(4)]
-    assert novel[0] == 5 and novel[1:] == [0, 0, 0] and [len(x) for x in runs.levels] == [0, 0, 1]
-    assert {(r["__docs"], r["__top"]) for r in runs.merged().collect()} == {(4, 15), (4, 16), (4, 17), (4, 18), (4, 19)}
+    novel = [runs.add(rows.filter(f"__id div 4 = {4 - k}")).filter("__top IS NOT NULL").count() for k in range(5)]
+    assert novel == [4, 1, 0, 0, 0] and [len(x) for x in runs.levels] == [1, 0, 1]
+    assert {(r["__docs"], r["__top"][0]) for r in runs.merged().collect()} == {(4, 15), (4, 16), (4, 17), (4, 18), (4, 19)}
+    runs.close()
+
+
+def test_line_dedup_keeps_what_the_anti_join_calls_novel(spark, monkeypatch):
+    """The line stays where a batch found its key novel: a run that forgets its founders changes the result."""
+    line = "a line that is long enough to be looked at by the operator"
+    df = spark.createDataFrame([(i, line) for i in range(20)], "doc_id long, text string")
+    kept = lambda: sorted(r["doc_id"] for r in line_dedup.line_dedup(df, first_docs=3, growth=2).filter("n_dropped = 0").collect())
+    assert kept() == [19]
+    write = line_dedup.LineRuns._write
+    monkeypatch.setattr(line_dedup.LineRuns, "_write", lambda self, rows: write(self, rows.withColumn("__top", F.expr("CAST(NULL AS STRUCT<__id: BIGINT>)"))))
+    assert kept() == []
+
+
+def test_hot_and_rare_lines_are_lost_alike(spark):
+    line = "a line that is long enough to be looked at by the operator"
+    rows = [(i, f"{line} of all\n{line} number {i % 60}\nown {i} {line}") for i in range(300)]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), first_docs=50, growth=2)
+    assert Counter(r["n_dropped"] for r in out.collect()) == {2: 240, 1: 59, 0: 1}
+
+
+def test_many_lines(spark):
+    """A text of many megabytes, beside documents that share some of its lines."""
+    line = "this is the line with the number {} that stands in many texts"
+    big = "\n".join(line.format(i) for i in range(60_000))
+    rows = [(9, big), *((i, "\n".join([line.format(7 * i + k) for k in range(14)] + [line.format(5)])) for i in range(8))]
+    out = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (out[9]["n_lines"], out[9]["n_dropped"]) == (60_000, 0) and [out[i]["n_dropped"] for i in range(8)] == [2, *[1] * 7]
