@@ -125,6 +125,10 @@ def water(sizes, share=1.5, most=2.0, weights=(3, 1, 2)):
         full |= new
 
 
+def words_taken(plan):
+    return {(r["__u"], r["__v"]): sum(c["words"] for c in r["copies"]) for r in plan.collect()}
+
+
 def test_source_mix(docs, nothing):
     df, rows = docs
     size = lambda t: len(SPACE.findall(t or ""))
@@ -133,24 +137,79 @@ def test_source_mix(docs, nothing):
         totals[r[3]] += size(r[1])
     want = water(totals)
     plan = source_mix.mix_plan(df, shards=8, block_words=64)
-    got = plan.select("__doc.doc_id", "__doc.text", "__doc.source", "size", "source_size", "target", "copies").collect()
-    assert len(got) == len(rows)
-    taken, blocks = Counter(), {}
+    got = plan.select("__id", "size", "source_size", "target", "copies").collect()
+    assert Counter((low(r["__id"]), r["size"]) for r in got) == Counter((low(r[0]), size(r[1])) for r in rows)
+    by_total = {v: k for k, v in totals.items()}
+    assert len(by_total) == len(totals)
+    taken, blocks, places = Counter(), {}, defaultdict(lambda: defaultdict(int))
     for r in got:
-        assert r["size"] == size(r["text"]) and r["source_size"] == totals[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
-        own = sum(c["words"] for c in r["copies"])
-        assert own <= 2 * r["size"]
-        taken[r["source"]] += own
+        source = by_total[r["source_size"]]
+        assert r["target"] == pytest.approx(want[source])
+        assert sum(c["words"] for c in r["copies"]) <= 2 * r["size"]
         for c in r["copies"]:
-            assert blocks.setdefault((r["source"], c["block"]), c["shard"]) == c["shard"]
-    assert all(abs(taken[s] - want[s]) <= 1 for s in totals)
-    again = source_mix.mix_plan(df, shards=8, block_words=64).select("__doc.doc_id", "__doc.text", "copies").collect()
-    assert Counter(map(str, again)) == Counter(str(r) for r in plan.select("__doc.doc_id", "__doc.text", "copies").collect())
-    mixed = source_mix.mixed_documents(df)
-    assert mixed.columns == df.columns and mixed.count() > len(rows) / 2
+            assert c["words"] > 0 and blocks.setdefault((source, c["block"]), c["shard"]) == c["shard"]
+            places[source, c["copy"]][r["__id"], c["block"]] += c["words"]
+            taken[source] += c["words"]
+    assert all(taken[s] == round(want[s]) for s in totals)
+    per_block = Counter()
+    for r in got:
+        for c in r["copies"]:
+            per_block[by_total[r["source_size"]], c["block"]] += c["words"]
+    assert max(per_block.values()) <= 64
+    shards = Counter(x for x in blocks.values())
+    assert max(shards.values()) - min(shards[k] for k in range(8)) <= 1
+    again = source_mix.mix_plan(df, shards=8, block_words=64).select("__id", "size", "copies").collect()
+    assert Counter(map(str, again)) == Counter(str(r) for r in plan.select("__id", "size", "copies").collect())
     assert source_mix.mix_plan(nothing).count() == 0
 
 
+def test_source_mix_takes_what_the_tree_deals_out(docs, monkeypatch):
+    df, _ = docs
+    plan = lambda **more: source_mix.mix_plan(df, shards=8, block_words=64, **more)
+    before, shards = words_taken(plan()), {(r["__u"], c["block"]): c["shard"] for r in plan().collect() for c in r["copies"]}
+    of_shard = {k: sum(c["words"] for r in plan().collect() for c in r["copies"] if c["shard"] == k) for k in range(8)}
+    split = source_mix.split_quotas
+    monkeypatch.setattr(source_mix, "split_quotas", lambda *a: split(*a).filter("__shard <> 3"))
+    assert sum(before.values()) - sum(words_taken(plan()).values()) == of_shard[3] > 0
+    monkeypatch.setattr(source_mix, "split_quotas", lambda q, n, seed: split(q, n, seed + 1))
+    other = {(r["__u"], c["block"]): c["shard"] for r in plan().collect() for c in r["copies"]}
+    assert words_taken(plan()) == before and other.keys() == shards.keys() and other != shards
+
+
+def test_mixed_documents(spark, docs, nothing):
+    df, rows = docs
+    mixed = source_mix.mixed_documents(df, shards=4, block_words=64)
+    assert mixed.columns == df.columns
+    plan = source_mix.mix_plan(df, shards=4, block_words=64, whole=True)
+    want = Counter()
+    for r in plan.collect():
+        assert all(c["words"] == r["size"] for c in r["copies"])
+        want[low(r["__id"])] += len(r["copies"])
+    got = Counter(low(r["doc_id"]) for r in mixed.collect())
+    assert got == +want and 1.2 * len(rows) < sum(got.values()) < 1.8 * len(rows)
+    one = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(10)), f"s{i % 2}") for i in range(200)], "doc_id long, text string, source string")
+    order = {(r["__id"], c["copy"]): (c["shard"], c["order"]) for r in source_mix.mix_plan(one, shards=3, block_words=40, whole=True).collect() for c in r["copies"]}
+    lines = one.transform(lambda d: source_mix.mixed_documents(d, shards=3, block_words=40)).select("doc_id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i")).collect()
+    assert Counter(r["doc_id"] for r in lines) == Counter(i for i, _ in order)
+    of, by_place = defaultdict(set), defaultdict(list)
+    for (i, _), x in order.items():
+        of[i].add(x)
+    for r in sorted(lines, key=lambda r: r["i"]):
+        by_place[r["p"]].append(r["doc_id"])
+    shuffled = [i for p in sorted(by_place) for i in by_place[p]]
+    assert shuffled != sorted(shuffled) and all(len({min(of[i])[0] for i in p}) >= 1 for p in by_place.values())
+    assert source_mix.mixed_documents(nothing).count() == 0
+    empty = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, " ", None)], "doc_id long, text string, source string")
+    assert source_mix.mixed_documents(empty).count() == 0 and source_mix.mix_plan(empty).count() == 3
+
+
+def test_source_mix_of_a_very_long_text(spark):
+    rows = [(1, "w " * 400_000, "a"), (2, "w " * 300, "a"), (3, "w " * 100_000, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["__id"]: (sum(c["words"] for c in r["copies"]), r["target"]) for r in source_mix.mix_plan(df).collect()}
+    assert abs(got[1][0] + got[2][0] - got[1][1]) <= 0.5 and abs(got[3][0] - got[3][1]) <= 0.5
+
+
 @pytest.mark.parametrize("shards", [1, 5, 8])
 def test_splitting_tree_keeps_its_margins(spark, shards):
     quotas = [37, 0, 5, 120, 1]
