@@ -24,6 +24,9 @@ def byte_pair_encoder(path: str):
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
+    split = model.get("pre_tokenizer") or {}
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or model.get("normalizer"):
+        raise ValueError("only files that split text by the byte-level rule alone")
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     added = model.get("added_tokens", [])
@@ -31,6 +34,7 @@ def byte_pair_encoder(path: str):
         raise ValueError("added tokens that look at the text around them")
     special = {x["content"]: x["id"] for x in added}
     ranks = {bytes(chars[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+    # The byte-level rule of the library, which files name but do not hold: a fixed value.
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
@@ -57,61 +61,99 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int, end_id: int, id_col: s
     return rows.mapInPandas(cut_up, f"__id {kind}, piece int, length long, start long, ids_crc32 long").select("__id", "piece", "start", "length", "ids_crc32")
 
 
-def best_knapsacks(lengths: np.ndarray, prices: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best value of each capacity up to ``size`` with any number of each length, and the length (its place, or -1) taken last."""
-    value, last = np.zeros(size + 1), np.full(size + 1, -1)
-    first = int(lengths[0]) if len(lengths) else size + 1
-    until = np.searchsorted(lengths, np.arange(size + 1), side="right")
-    for c in range(first, size + 1):
-        options = value[c - lengths[: until[c]]] + prices[: until[c]]
-        k = int(options.argmax())
-        value[c], last[c] = (options[k], k) if options[k] > value[c - 1] else (value[c - 1], -2)
-    return value, last
+class Knapsacks:
+    """The dearest fillings of every exact capacity up to ``size``, by dynamic programming.
 
+    Length i may be taken ``bounds[i]`` times; it is split into items of 1, 2, 4, ... times and the rest.
+    """
 
-def configuration_program(lengths: np.ndarray, demand: np.ndarray, size: int, rounds: int, eta: float = 8.0, width: int = 48) -> dict[tuple[int, ...], float]:
-    """Configurations (lengths, longest first) with their fractional multiplicities, by multiplicative weights.
-
-    Prices start at length / size and fall exponentially with how far a length is covered. Each round prices all capacities
-    by one dynamic program; for the lengths whose best configuration is within a hundredth of the dearest, that
-    configuration is used until its scarcest length is covered by another ``1 / eta``.
+    def __init__(self, lengths: np.ndarray, prices: np.ndarray, bounds: np.ndarray, size: int):
+        items = [(i, n) for i, bound in enumerate(bounds.tolist()) for n in self._times(bound)]
+        self.kinds, self.times = np.array(items, dtype=np.int64).T.reshape(2, -1)
+        self.weights, worth = lengths[self.kinds] * self.times, prices[self.kinds] * self.times
+        self.value = np.full(size + 1, -np.inf)
+        self.value[0] = 0.0
+        took = np.zeros((len(items), size + 1), dtype=bool)
+        for j, (weight, price) in enumerate(zip(self.weights.tolist(), worth.tolist(), strict=True)):
+            new = self.value[:-weight] + price
+            np.greater(new, self.value[weight:], out=took[j, weight:])
+            np.maximum(new, self.value[weight:], out=self.value[weight:])
+        self._took = np.ascontiguousarray(took.T)
+        #: The best value with at most so much capacity, and the capacity that has it.
+        self.top = np.maximum.accumulate(self.value)
+        self.at = np.maximum.accumulate(np.where(self.value >= self.top, np.arange(size + 1), 0))
+
+    @staticmethod
+    def _times(bound: int) -> list[int]:
+        out, n = [], 1
+        while bound > 0:
+            out.append(min(n, bound))
+            bound, n = bound - out[-1], 2 * n
+        return out
+
+    def filling(self, capacity: int) -> dict[int, int]:
+        """How often the best filling with at most ``capacity`` takes each length."""
+        out, c, j = {}, int(self.at[capacity]), len(self.kinds)
+        while c > 0:
+            j = j - 1 - int(self._took[c, :j][::-1].argmax())
+            k = int(self.kinds[j])
+            out[k] = out.get(k, 0) + int(self.times[j])
+            c -= int(self.weights[j])
+        return out
+
+
+def configuration_program(lengths: np.ndarray, demand: np.ndarray, size: int, eta: float = 4.0, near: float = 0.98, seed: int = 1) -> dict[tuple[tuple[int, int], ...], float]:
+    """The program's solution by multiplicative weights: configurations of (length, times) and how often each is used.
+
+    A length's price is its share of ``size`` times exp(-eta * the part of its demand that is covered). Each round prices
+    the open lengths with one knapsack program. For each open length from the dearest on, the best configuration with it is
+    used, if it is worth at least ``near`` of the round's best, until a length in it has gained ``1 / eta`` of its demand in
+    this round or is covered. No configuration takes more of a length than there is, so that it can be used whole. The
+    rounds go on until all demand is covered: exactly, as no length gets more than its demand.
     """
-    covered, x = np.zeros(len(lengths)), {}
-    need = demand.astype(float)
-    for _ in range(rounds):
-        open_ = covered < 1
-        if not open_.any():
-            break
-        live = np.flatnonzero(open_)
-        prices = lengths[live] / size * np.exp(-eta * covered[live])
-        value, last = best_knapsacks(lengths[live], prices, size)
-        worth = prices + value[size - lengths[live]]
+    rng, covered, need, x = np.random.default_rng(seed), np.zeros(len(lengths)), demand.astype(float), {}
+
+    def use(which: np.ndarray, times: np.ndarray, most: np.ndarray) -> bool:
+        step = float(((most[which] - covered[which]) * need[which] / times).min())
+        if step <= 1e-9:
+            return False
+        covered[which] += step * times / need[which]
+        key = tuple(sorted(((int(lengths[i]), int(n)) for i, n in zip(which, times, strict=True)), reverse=True))
+        x[key] = x.get(key, 0.0) + step
+        return True
+
+    while len(live := np.flatnonzero(covered < 1 - 1e-9)):
+        live = rng.permutation(live)
+        open_lengths, bounds = lengths[live], np.minimum(demand[live], size // lengths[live])
+        prices = open_lengths / size * np.exp(-eta * (covered[live] - covered[live].min()))
+        best = Knapsacks(open_lengths, prices, bounds, size)
+        worth = prices + best.top[size - open_lengths]
+        most, used = np.minimum(covered + 1 / eta, 1.0), False
         order = np.argsort(-worth, kind="stable")
-        for k in order[worth[order] >= 0.99 * worth[order[0]]][:width]:
-            items, room = [int(live[k])], size - int(lengths[live[k]])
-            while room > 0 and last[room] != -1:
-                if last[room] == -2:
-                    room -= 1
-                    continue
-                items.append(int(live[last[room]]))
-                room -= int(lengths[items[-1]])
-            at, count = np.unique(items, return_counts=True)
-            step = float((np.maximum(0, np.minimum(1 / eta, 1 - covered[at])) * need[at] / count).min())
-            if step > 0:
-                covered[at] += step * count / need[at]
-                key = tuple(sorted((int(lengths[i]) for i in items), reverse=True))
-                x[key] = x.get(key, 0.0) + step
+        for k in order[worth[order] >= near * worth[order[0]]].tolist():
+            if covered[live[k]] >= most[live[k]] - 1e-12:
+                continue
+            items = best.filling(size - int(open_lengths[k]))
+            items[k] = items.get(k, 0) + 1
+            which, times = np.array(list(items)), np.array(list(items.values()))
+            if (times <= bounds[which]).all():
+                used |= use(live[which], times, most)
+        if not used:
+            items = best.filling(size)
+            use(live[np.array(list(items))], np.array(list(items.values())), most)
     return x
 
 
-def best_fit(left: dict[int, int], size: int) -> dict[tuple[int, ...], int]:
-    """Best-fit decreasing over a histogram; sequences that are filled alike are handled together."""
+def best_fit(left: dict[int, int], size: int, begun: dict[tuple[int, ...], int]) -> dict[tuple[int, ...], int]:
+    """Best-fit decreasing of a histogram into sequences that are ``begun`` or new; such as are filled alike go together."""
     groups: dict[int, dict[tuple[int, ...], int]] = {}
 
     def put(pattern: tuple[int, ...], n: int) -> None:
         room = groups.setdefault(size - sum(pattern), {})
         room[pattern] = room.get(pattern, 0) + n
 
+    for pattern, n in begun.items():
+        put(pattern, n)
     for length in sorted(left, reverse=True):
         n = left[length]
         while n:
@@ -135,31 +177,56 @@ def best_fit(left: dict[int, int], size: int) -> dict[tuple[int, ...], int]:
     return out
 
 
-def pack_histogram(histogram: dict[int, int], size: int, rounds: int = 150, share: float = 0.9, full: float = 0.998) -> list[tuple[tuple[int, ...], int]]:
+def round_program(left: dict[int, int], size: int, rest: float, full: float) -> dict[tuple[int, ...], int]:
+    """Whole numbers of the program's configurations; takes their pieces out of ``left``.
+
+    Each configuration that is at least ``full`` full (or as full as the mean one, where that is less) is rounded down;
+    then those with the largest remainders are rounded up, while their pieces last. The program for the residual demand is
+    rounded in the same way, and so on, until less than ``rest`` of the tokens are left or a program places nothing.
+    """
+    out: dict[tuple[int, ...], int] = {}
+    tokens = remaining = sum(k * v for k, v in left.items())
+    goal = rest * tokens
+
+    def use(config: tuple[tuple[int, int], ...], most: int) -> int:
+        nonlocal remaining
+        filled = sum(k * n for k, n in config)
+        count = min(most, int((remaining - goal) // filled) + 1, *(left.get(k, 0) // n for k, n in config))
+        if count <= 0 or remaining <= goal:
+            return 0
+        pattern = tuple(k for k, n in config for _ in range(n))
+        out[pattern] = out.get(pattern, 0) + count
+        remaining -= count * filled
+        for k, n in config:
+            left[k] -= n * count
+            if not left[k]:
+                del left[k]
+        return count
+
+    while remaining > goal:
+        lengths = np.array(sorted(left), dtype=np.int64)
+        x = configuration_program(lengths, np.array([left[int(k)] for k in lengths]), size)
+        fill = {c: sum(k * n for k, n in c) / size for c in x}
+        least = min(full, sum(fill[c] * v for c, v in x.items()) / sum(x.values()))
+        good = [c for c in x if fill[c] >= least - 1e-9]
+        placed = sum(use(c, int(x[c] + 1e-9)) for c in sorted(good, key=lambda c: (-x[c], c)))
+        placed += sum(use(c, 1) for c in sorted(good, key=lambda c: (int(x[c]) - x[c], -fill[c], c)))
+        if not placed:
+            break
+    return out
+
+
+def pack_histogram(histogram: dict[int, int], size: int, rest: float = 0.08, full: float = 0.9999) -> list[tuple[tuple[int, ...], int]]:
     """How many sequences of each configuration hold exactly the pieces of ``histogram`` (length to count).
 
-    Of the program's solution, ``share`` of each configuration that is at least ``full`` full is rounded down and used; the
-    rest of the pieces, a like mix of lengths, goes to best-fit decreasing.
+    The program places all but ``rest`` of the tokens; best-fit decreasing puts what its rounding leaves into the gaps of
+    these sequences and into new ones.
     """
     left = {k: int(v) for k, v in histogram.items() if v and k < size}
-    out: dict[tuple[int, ...], int] = {(size,): int(histogram[size])} if histogram.get(size) else {}
-    lengths = np.array(sorted(left), dtype=np.int64)
-    if len(lengths):
-        x = configuration_program(lengths, np.array([left[int(k)] for k in lengths]), size, rounds)
-
-        def use(pattern: tuple[int, ...], most: int) -> None:
-            kinds, count = np.unique(pattern, return_counts=True)
-            n = min(most, *(left.get(int(k), 0) // int(c) for k, c in zip(kinds, count, strict=True)))
-            if n > 0:
-                out[pattern] = out.get(pattern, 0) + n
-                for k, c in zip(kinds, count, strict=True):
-                    left[int(k)] -= n * int(c)
-
-        for pattern in sorted(x, key=lambda p: (-sum(p), p)):
-            if sum(pattern) >= full * size:
-                use(pattern, int(share * x[pattern]))
-    for pattern, n in best_fit({k: v for k, v in left.items() if v}, size).items():
-        out[pattern] = out.get(pattern, 0) + n
+    begun = round_program(left, size, rest, full)
+    out = best_fit(left, size, begun)
+    if histogram.get(size):
+        out[(size,)] = out.get((size,), 0) + int(histogram[size])
     return sorted(out.items())
 
 
@@ -179,21 +246,21 @@ def slots_of(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndar
     return {k: tuple(np.array(c, dtype=np.int64) for c in zip(*v, strict=True)) for k, v in out.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", rounds: int = 150, cell_bits: int = 8) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cell_bits: int = 8) -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are one piece of ``end_id``. The driver gets the histogram of lengths, at most ``size`` rows, and
-    sends back the slots: at most one row for each configuration and length, of which there are no more than 48 in each
-    of ``rounds`` rounds besides those of the best fit. Pieces of a length are ranked within ``2 ** cell_bits`` ranges
-    of a hash, whose counts are added up, so a hot length meets in no task. Rows that share an id are packed
-    one by one. Other columns are ignored; an empty table gives an empty result.
+    Null and empty texts are one piece of ``end_id``. The driver gets the histogram of lengths, at most ``size`` rows, solves
+    the program for it and sends back the slots: one row for each used configuration and length, whose number depends on
+    the number of lengths, not on that of documents. Pieces of a length are ranked within ``2 ** cell_bits`` ranges of a
+    hash, whose counts are added up, so a hot length meets in no task. Rows that share an id are packed one by one. Other
+    columns are ignored; an empty table gives an empty result.
     """
     pieces = pieces_of(docs, tokenizer, size, end_id, id_col, text_col)
     mixed = F.xxhash64(F.monotonically_increasing_id(), F.col("start"))
     pieces = cut(pieces.withColumn("__u", mixed).withColumn("__cell", F.shiftrightunsigned("__u", 64 - cell_bits).cast("int")))
     counts = cut(pieces.groupBy("length", "__cell").count())
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}
-    slots = slots_of(pack_histogram(histogram, size, rounds))
+    slots = slots_of(pack_histogram(histogram, size))
     starts = counts.withColumn("__first", F.sum("count").over(Window.partitionBy("length").orderBy("__cell")) - F.col("count")).drop("count")
     rows = pieces.join(starts, ["length", "__cell"])
     rank = F.row_number().over(Window.partitionBy("length", "__cell").orderBy("__u", "ids_crc32")) - 1
@@ -218,6 +285,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2,048 tokens."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
