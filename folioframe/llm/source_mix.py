@@ -119,7 +119,7 @@ def mix_plan(
     block_words: int = 4096,
     seed: int = 11,
     whole: bool = False,
-    cell_bits: int = 14,
+    cell_bits: int = 12,
 ) -> DataFrame:
     """One row for each row of ``docs``: __id, __u, __v, size, source_size, target and copies.
 
