@@ -64,6 +64,11 @@ def uniform(*parts) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 12).cast("double") + F.lit(0.5)) * F.lit(2.0**-52)
 
 
+def chosen(name: str, key: Column, most: int, count: int) -> Column:
+    """Whether a hash picks the row: about ``most`` of ``count`` rows, at any count, and all where there are no more."""
+    return F.lit(True) if count <= most else uniform(F.lit(name), key) < most / count
+
+
 def bitmap(keys: DataFrame, key: Column, bits: int) -> DataFrame:
     """Rows (__word, __mask) of a ``2 ** bits`` bit map of the hashed keys: no more than ``2 ** (bits - 6)`` rows of 12 bytes."""
     at = keys.select(F.pmod(F.xxhash64(key), F.lit(1 << bits)).alias("__at"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioframe.llm.common import is_training_row, table
+from folioframe.llm.common import chosen, is_training_row, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Unicode blocks of scripts: first and last code point. Fixed values of the Unicode standard; all else is script 0.
@@ -161,16 +161,28 @@ def label_text(text: str | None, found: list[str], model: dict, words: WordScore
     return langs[top], float(letters[top] / sizes.sum() * sure), spans
 
 
-def fit_languages(docs: DataFrame, fit_rows: int = 12_000, bins: int = 1 << 16, penalty: float = 12.0, least_script: float = 0.005, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
+def pick_rows(docs: DataFrame, fit_rows: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """Rows (__text, __lang) to learn from: about ``fit_rows`` rows of the training fold a language, by a hash of the id.
+
+    All where a language has fewer. The shares are doubles, so there are rows to learn from at any size of the table.
+    Languages are few: their counts, a row each, are collected and sent back.
+    """
+    rows = docs.filter(is_training_row(id_col)).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    keep = F.lit(False)
+    for lang, n in sorted(counts.items()):
+        keep = keep | ((F.col(lang_col) == lang) & chosen("language", F.col(id_col), fit_rows, n))
+    return rows.filter(keep).select(F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"))
+
+
+def fit_languages(docs: DataFrame, fit_rows: int = 3_000, bins: int = 1 << 16, penalty: float = 12.0, least_script: float = 0.005, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """Smoothed log frequencies of hashed word pieces by language and the scripts that each language uses.
 
-    Learns from about ``fit_rows`` rows of the training fold with a language, picked by a hash of the id; their whole texts
-    are counted on the executors into ``bins`` bins a language, and the counts (at most ``bins`` rows a language and
-    task) are added up by language and bin. Languages are in the order of their names.
+    Learns from the rows of ``pick_rows``; their whole texts are counted on the executors into ``bins`` bins a language,
+    and the counts (at most ``bins`` rows a language and task) are added up by language and bin. Languages are in the order
+    of their names.
     """
-    share = min(1.0, fit_rows / max(1, docs.count()))
-    picked = docs.filter(is_training_row(id_col)).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    picked = picked.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = pick_rows(docs, fit_rows, id_col, text_col, lang_col)
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, np.ndarray] = {}
@@ -187,7 +199,7 @@ def fit_languages(docs: DataFrame, fit_rows: int = 12_000, bins: int = 1 << 16,
             at = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "bin": at, "n": total[at]})
 
-    rows = picked.select(F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang")).mapInPandas(counted, "lang string, bin int, n long")
+    rows = picked.mapInPandas(counted, "lang string, bin int, n long")
     table_ = rows.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(table_["lang"].unique())
     counts = np.zeros((bins + len(SCRIPTS) + 1, len(langs)))
@@ -201,7 +213,8 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     """One row for each row of ``docs``: id, lang_pred, score and spans (lang, start, end) in code points.
 
     A text that is null or has no letter is ``und`` with score 0 and no spans. Words of a script that no learned language
-    uses say nothing. Ties go to the first language by name. Other columns are ignored.
+    uses say nothing. Ties go to the first language by name. Rows with equal texts have equal results. Other columns are
+    ignored; an empty table gives an empty result, and a model without languages calls every text ``und``.
     """
 
     def labelled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,6 +236,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document and its spans."""
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, fit_languages(docs))
     return out.select("doc_id", (~is_training_row("doc_id")).alias("held_out"), "lang_pred", "score", "spans")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioframe.llm import exact_dedup, fingerprints, language_id, line_dedup, ngram_join, packing, quality, sharding, source_mix, url_filter
-from folioframe.llm.common import components, is_training_row
+from folioframe.llm.common import chosen, components, is_training_row
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size int, shard string"
 WORDS = "amber birch cedar dune ember fjord grove harbor inlet jetty kelp lagoon meadow nectar orchard prairie quarry ridge summit tundra".split()
@@ -460,6 +461,70 @@ def test_quality(spark, nothing):
     assert quality.drop_rejected(docs, labels.limit(0)).count() == 903
 
 
+def plain_risk(positive, unlabelled, prior):
+    loss = lambda z: math.log1p(math.exp(-z))
+    mean = lambda xs: sum(xs) / len(xs)
+    return prior * mean([loss(z) for z in positive]), mean([loss(-z) for z in unlabelled]) - prior * mean([loss(-z) for z in positive])
+
+
+def test_risk_and_its_slopes():
+    rng = np.random.default_rng(8)
+    signs = set()
+    for _ in range(40):
+        p, u, prior = rng.normal(1, 2, 5), rng.normal(-1, 2, 7), rng.uniform(0.1, 0.9)
+        own, rest = plain_risk(p, u, prior)
+        risk, gp, gu = quality.risk_slopes(p, u, prior)
+        assert risk == pytest.approx(own + max(0, rest))
+        signs.add(rest >= 0)
+        for x, g, of in ((p, gp, lambda z: (z, u)), (u, gu, lambda z: (p, z))):
+            for i in range(len(x)):
+                up, down = x.copy(), x.copy()
+                up[i] += 1e-5
+                down[i] -= 1e-5
+                a, b = plain_risk(*of(up), prior), plain_risk(*of(down), prior)
+                want = (sum(a) - sum(b)) if rest >= 0 else -(a[1] - b[1])
+                assert g[i] == pytest.approx(want / 2e-5, abs=1e-6)
+    assert signs == {True, False}
+
+
+def test_class_prior():
+    rng = np.random.default_rng(2)
+    for share in (0.2, 0.5, 0.85):
+        positive = rng.normal(3, 1, 4000)
+        unlabelled = np.where(rng.random(6000) < share, rng.normal(3, 1, 6000), rng.normal(-2, 1, 6000))
+        assert quality.class_prior(positive, unlabelled) == pytest.approx(share, abs=0.06)
+
+
+def test_fit_samples_are_there_at_any_size(spark):
+    """A share of 1e-7, as of 10,000 rows among 1e11, still picks rows; few rows are all picked."""
+    picked = spark.range(60_000_000).filter(chosen("language", F.col("id"), 10_000, 10**11)).count()
+    assert 0 < picked < 30
+    assert spark.range(50).filter(chosen("language", F.col("id"), 10_000, 50)).count() == 50
+    assert 350 < spark.range(4000).filter(chosen("x", F.col("id"), 400, 4000)).count() < 450
+
+
+def test_pick_rows_keeps_small_classes(spark):
+    rows = [(i, f"text {i}", "big" if i % 100 else "small") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter(r["__lang"] for r in language_id.pick_rows(docs, 200, "doc_id", "text", "lang").collect())
+    assert got["small"] == sum(1 for r in docs.filter(is_training_row()).collect() if r["lang"] == "small") and 150 < got["big"] < 250
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i in range(6000)] + [(1, None), (None, 1)], "doc_id long, quality int")
+    picked = quality.pick_rows(docs, labels, 200, "doc_id", "quality").collect()
+    assert sum(r["__p"] for r in picked) == got["small"] and 150 < sum(r["__u"] for r in picked) < 250 and all(r["lang"] == "small" for r in picked if r["__p"])
+
+
+def test_quality_of_equal_odd_and_very_long_texts(spark):
+    rng = random.Random(4)
+    rows = [(i, junk(rng) if i % 6 == 0 else ". ".join(prose(rng, 9).capitalize() for _ in range(9)) + ".") for i in range(300)]
+    long = " ".join(prose(rng, 12).capitalize() + "." for _ in range(40_000))
+    rows += [(400, rows[1][1]), (401, rows[1][1]), (401, rows[1][1]), (402, long), (403, "x" * 3_000_000), (404, "\ud83d\ude00 " * 50), (405, " \n\t ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit_quality(docs, spark.createDataFrame([(i, int(i % 6 != 0)) for i in range(300)], "doc_id long, quality int"))
+    out = [(r["doc_id"], r["score"]) for r in quality.score_quality(docs, model).collect()]
+    by = dict(out)
+    assert len(out) == len(rows) and all(0 <= s <= 1 for _, s in out) and by[400] == by[401] == by[1] and by[402] > 0.5
+
+
 def test_sharding(docs, nothing):
     df, rows = docs
     out = sharding.shard_rows(df, shards=5, rows_per_sort=7).collect()
