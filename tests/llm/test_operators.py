@@ -537,6 +537,17 @@ def test_sharding(docs, nothing):
     assert sharding.shard_rows(nothing).count() == 0
 
 
+def test_matrix_in_two_steps_keeps_its_margins(spark):
+    sent, counts = [], [5, 0, 17, 40, 3, 9, 22, 1, 30, 12]
+    for seed in range(30):
+        frame = spark.createDataFrame([(i, n) for i, n in enumerate(counts) if n], "__part int, count long")
+        rows = {r["__part"]: np.diff([0, *r["__ends"]]) for r in sharding.matrix_rows(frame, [47, 46, 46], len(counts), seed).collect()}
+        assert all(rows[i].sum() == n and (rows[i] >= 0).all() for i, n in enumerate(counts) if n)
+        assert np.sum(list(rows.values()), axis=0).tolist() == [47, 46, 46]
+        sent.append(rows[3][0])
+    assert abs(np.mean(sent) - 40 * 47 / 139) < 2 and np.std(sent) > 1
+
+
 def test_communication_matrix_keeps_its_margins():
     m = sharding.communication_matrix([5, 0, 17, 40], [21, 21, 20], 1)
     assert m.sum(1).tolist() == [5, 0, 17, 40] and m.sum(0).tolist() == [21, 21, 20] and (m >= 0).all()
