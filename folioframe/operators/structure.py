@@ -32,9 +32,9 @@ def split_front_matter(df: DataFrame) -> DataFrame:
     df = df.withColumn("__title", F.min(F.when(F.col("__front") & titled, F.col("idx"))).over(Window.partitionBy("doc_id")))
     first = F.col("__front") & F.coalesce(F.col("idx") == F.col("__title"), F.lit(False))
     df = df.withColumn("__first", first)
-    df = _to(df, F.col("__first"), "frontMatterTitle", "first title-like line before the body matter")
-    df = _to(df, F.col("__front") & ~F.col("__first"), "frontMatter", "sits before the first chapter")
-    df = _to(df, F.col("body_start").isNull() & (F.col("auto_role") == "frontMatterTitle"), "chapterTitle", "no chapters found, so treated as a chapter title")
+    df = _to(df, F.col("__first"), "frontMatterTitle", "first line like a title ahead of the chapters")
+    df = _to(df, F.col("__front") & ~F.col("__first"), "frontMatter", "ahead of the chapters")
+    df = _to(df, F.col("body_start").isNull() & (F.col("auto_role") == "frontMatterTitle"), "chapterTitle", "the book has no other heading")
     return df.drop("__front", "__title", "__first")
 
 
@@ -47,7 +47,7 @@ def mark_copyright_pages(df: DataFrame) -> DataFrame:
     any_marker = F.max(marker).over(Window.partitionBy("doc_id", "__page"))
     df = df.withColumn("__any", any_marker)
     change = F.col("__front") & F.col("__any") & F.col("auto_role").isin("frontMatter", "frontMatterTitle")
-    return _to(df, change, "copyright", "part of the copyright page").drop("__page", "__front", "__any")
+    return _to(df, change, "copyright", "shares its page with a rights notice").drop("__page", "__front", "__any")
 
 
 def fold_subtitles(df: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def fold_subtitles(df: DataFrame) -> DataFrame:
     df = df.withColumn("__can", can)
     df = df.withColumn("__run", F.sum((~F.col("__can")).cast("int")).over(among.rowsBetween(Window.unboundedPreceding, 0)))
     df = df.withColumn("__at", F.sum(F.col("__can").cast("int")).over(Window.partitionBy("doc_id", "__skip", "__run").orderBy("idx")))
-    df = _to(df, F.col("__can") & (F.col("__at") % 2 == 1), "chapterSubtitle", "follows a chapter title on the same page")
+    df = _to(df, F.col("__can") & (F.col("__at") % 2 == 1), "chapterSubtitle", "next line of the page after its chapter title")
     return df.drop("__skip", "__last_break", "__prev", "__prev_idx", "__can", "__run", "__at")
 
 
@@ -73,7 +73,7 @@ def open_sections(df: DataFrame) -> DataFrame:
     """The first body paragraph after something that opens a section becomes bodyFirst: the last event carried forward."""
     event = F.when(F.col("kind") == "table", 0).when(F.col("auto_role").isin(*OPENERS), 1).when(F.col("auto_role").isin("body", "bodyFirst", "frontMatter"), 0)
     df = df.withColumn("__open", F.coalesce(F.last(event, ignorenulls=True).over(before()), F.lit(1)))
-    return _to(df, (F.col("auto_role") == "body") & (F.col("__open") == 1), "bodyFirst", "opens a section").drop("__open")
+    return _to(df, (F.col("auto_role") == "body") & (F.col("__open") == 1), "bodyFirst", "first prose after a heading or break").drop("__open")
 
 
 def structural_passes(df: DataFrame) -> DataFrame:
