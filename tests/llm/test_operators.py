@@ -301,6 +301,35 @@ def test_ngram_join(docs, nothing, block):
     assert ngram_join.near_duplicates(nothing).count() == 0 and ngram_join.drop_near_copies(nothing).count() == 0
 
 
+@pytest.mark.parametrize("block", [384, 4])
+def test_long_chains_are_met_bucket_by_bucket(spark, monkeypatch, block):
+    """A window of words that slides over a long text: neighbours are alike, and candidates chain all of them."""
+    words = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(words[9 * i : 9 * i + 120])) for i in range(20)] + [(200 + i, " ".join(words[:40] + [f"x{i}"])) for i in range(12)]
+    sets = [grams(t) for _, t in rows]
+    linked = [[j for j in range(len(rows)) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    kinds = []
+    plan = ngram_join.groups_to_verify
+
+    def watched(*a):
+        out = plan(*a)
+        kinds.extend(g["band"] for r in out.collect() for g in r["__groups"])
+        return out
+
+    monkeypatch.setattr(ngram_join, "groups_to_verify", watched)
+    out = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    assert {k: v[0] for k, v in out.items()} == {r[0]: len(x) for r, x in zip(rows, linked, strict=True)}
+    assert out[0][1] == 19 and out[200][1] == 211
+    assert set(kinds) == {-1} if block == 384 else max(kinds) >= 0
+
+
+def test_bands_reach_their_recall():
+    for similarity in (0.05, 0.3, 0.5, 0.8, 0.95, 1.0):
+        for recall in (0.9, 0.995):
+            bands, rows = ngram_join.bands_for(similarity, recall)
+            assert 1 - (1 - similarity**rows) ** bands >= recall - 1e-12
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(230)] + [(i, i + 1) for i in range(1000, 1060)]
