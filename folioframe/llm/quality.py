@@ -200,10 +200,11 @@ def pick_rows(docs: DataFrame, labels: DataFrame, fit_rows: int, id_col: str, la
     return out.withColumn("__p", F.coalesce("__p", F.lit(False))).filter("__p OR __u").drop("__known")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 15_000, bins: int = 4096, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 6_000, bins: int = 4096, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict | None:
     """The model, from the rows of ``pick_rows``: positives and unlabelled text; negative labels are not used.
 
-    The class prior is estimated from the same rows. None without positives: then nothing can be learned. Null texts count
+    The rows, about ``2 * fit_rows`` of them, come to the driver as features, 1 to 2 KB a text of the usual length. The class
+    prior is estimated from the same rows. None without positives: then nothing can be learned. Null texts count
     as empty.
     """
     picked = pick_rows(docs, labels, fit_rows, id_col, label_col)
@@ -212,13 +213,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 15_000, bins
         words = WordBins(bins)
         for frame in frames:
             x = Features.of(frame["__text"], words)
-            yield pd.DataFrame({"__p": frame["__p"], "__u": frame["__u"], "__x": list(x.shapes), "__bins": x.bins, "__weights": x.weights})
+            packed = {"__x": x.shapes, "__bins": x.bins, "__weights": x.weights}
+            kinds = {"__x": "<f4", "__bins": "<i4", "__weights": "<f4"}
+            yield frame[["__p", "__u"]].assign(**{k: [a.astype(kinds[k]).tobytes() for a in v] for k, v in packed.items()})
 
     rows = picked.select("__p", "__u", text_of(text_col).alias("__text"))
-    rows = rows.mapInPandas(shape, "__p boolean, __u boolean, __x array<double>, __bins array<int>, __weights array<float>").toPandas()
+    rows = rows.mapInPandas(shape, "__p boolean, __u boolean, __x binary, __bins binary, __weights binary").toPandas()
     if not rows["__p"].any() or not rows["__u"].any():
         return None
-    x = Features(np.array(rows["__x"].tolist(), dtype=float), [np.asarray(a, np.int64) for a in rows["__bins"]], [np.asarray(a, float) for a in rows["__weights"]])
+    shapes = np.frombuffer(b"".join(rows["__x"]), "<f4").reshape(len(rows), len(FEATURES)).astype(float)
+    x = Features(shapes, *([np.frombuffer(a, kind) for a in rows[c]] for c, kind in (("__bins", "<i4"), ("__weights", "<f4"))))
     order = np.lexsort(x.shapes.T)  # rows come in any order
     positive, unlabelled = (x.take(order[rows[c].to_numpy(dtype=bool)[order]]) for c in ("__p", "__u"))
     prior = estimated_prior(positive, unlabelled, bins)
