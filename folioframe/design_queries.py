@@ -24,22 +24,49 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _styled_with_breaks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Paragraphs of three styles with breaks of all kinds, and their designs: every fifth without a chapter style."""
+    idx = F.col("idx")
+    facts = _facts_of(_blocks(spark, sf_dir)).withColumn("style_id", F.concat(F.lit("S"), (((idx + F.col("doc_id")) % 3)).cast("string")))
+    facts = facts.withColumn("style_id", F.when(F.col("is_empty") & (idx % 4 > 0), "S1").otherwise(F.col("style_id")))
+    facts = facts.withColumn("page_break_before", idx % 4 == 2).withColumn("leading_page_break", idx % 6 == 1).withColumn("trailing_page_break", idx % 7 == 3)
+    facts = facts.withColumn("section_break_type", F.when(idx % 11 == 5, "nextPage"))
+    chapters = facts.select("doc_id").distinct().select("doc_id", F.when(F.col("doc_id") % 5 > 0, "S1").alias("chapter_style"), (F.col("doc_id") % 8 == 1).alias("style_breaks"))
+    return facts, chapters
+
+
+def _facts_of(blocks: DataFrame) -> DataFrame:
+    return paragraph_facts(blocks).drop("style_id", "page_break_before", "leading_page_break", "trailing_page_break", "section_break_type")
+
+
+_BROKEN = (
+    O.FACTS
+    + """, broken AS (SELECT doc_id, idx, is_empty, CASE WHEN is_empty AND idx % 4 > 0 THEN 'S1' ELSE 'S' || ((idx + doc_id) % 3) END AS style, idx % 4 = 2 OR idx % 6 = 1 AS own, idx % 6 = 1 OR idx % 7 = 3 OR idx % 11 = 5 AS ends FROM facts
+    ), designs AS (SELECT DISTINCT doc_id, doc_id % 5 > 0 AS has_style, doc_id % 8 = 1 AS style_breaks FROM facts)"""
+)
+
+
 @query(
-    O.ROLES
-    + """, solid AS (SELECT doc_id, idx, role, max(CASE WHEN role <> 'empty' THEN idx END) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
-        min(CASE WHEN role <> 'empty' THEN idx END) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM roles
-    ), sinks AS (SELECT doc_id, idx - coalesce(p, -1) - 1 AS before, coalesce(n - idx - 1, 0) AS after FROM solid WHERE role = 'chapterTitle'
-    ), b AS (SELECT doc_id, arg_max(before, c * 1000 + before) AS before FROM (SELECT doc_id, before, count(*) AS c FROM sinks GROUP BY ALL) GROUP BY doc_id
-    ), a AS (SELECT doc_id, arg_max(after, c * 1000 + after) AS after FROM (SELECT doc_id, after, count(*) AS c FROM sinks GROUP BY ALL) GROUP BY doc_id)
-    SELECT doc_id, before, after FROM b JOIN a USING (doc_id)"""
+    _BROKEN
+    + """, marked AS (SELECT b.*, is_empty AND style = 'S1' AND has_style AS blank, NOT is_empty AND style = 'S1' AND has_style AS title FROM broken b JOIN designs USING (doc_id)
+    ), sunk AS (SELECT doc_id, title, idx - coalesce(max(CASE WHEN NOT blank THEN idx END) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) - 1 AS before,
+        coalesce(min(CASE WHEN NOT blank THEN idx END) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), count(*) OVER (PARTITION BY doc_id)) - idx - 1 AS after FROM marked
+    ), b AS (SELECT doc_id, arg_max(before, c * 1000 + before) AS before FROM (SELECT doc_id, before, count(*) AS c FROM sunk WHERE title GROUP BY ALL) GROUP BY doc_id
+    ), a AS (SELECT doc_id, arg_max(after, c * 1000 + after) AS after FROM (SELECT doc_id, after, count(*) AS c FROM sunk WHERE title GROUP BY ALL) GROUP BY doc_id)
+    SELECT doc_id, coalesce(before, 0) AS before, coalesce(after, 0) AS after FROM designs LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
 )
 def chapter_sinks(spark, sf_dir):
-    return Y.chapter_sink(_analysed(spark, sf_dir))
+    return Y.chapter_sink(*_styled_with_breaks(spark, sf_dir))
 
 
-@query(O.ROLES + " SELECT doc_id, avg(CASE WHEN (idx + doc_id) % 3 > 0 THEN 1e0 ELSE 0e0 END) >= 6e-1 AS new_page FROM roles WHERE role = 'chapterTitle' GROUP BY doc_id")
+@query(
+    _BROKEN
+    + """, solid AS (SELECT *, lag(ends) OVER (PARTITION BY doc_id ORDER BY idx) AS prev_ends FROM broken WHERE NOT is_empty
+    ), shares AS (SELECT doc_id, avg(CASE WHEN own OR prev_ends IS NULL OR prev_ends THEN 1e0 ELSE 0e0 END) AS share FROM solid JOIN designs USING (doc_id) WHERE has_style AND style = 'S1' GROUP BY doc_id)
+    SELECT doc_id, (has_style AND style_breaks) OR coalesce(share >= 6e-1, TRUE) AS new_page FROM designs LEFT JOIN shares USING (doc_id)"""
+)
 def chapters_on_new_pages(spark, sf_dir):
-    return Y.starts_on_new_page(_analysed(spark, sf_dir).withColumn("broken_before", (F.col("idx") + F.col("doc_id")) % 3 > 0))
+    return Y.starts_on_new_page(*_styled_with_breaks(spark, sf_dir))
 
 
 @query(O.BLOCKS + " SELECT doc_id, idx, coalesce(sum(CASE WHEN text = '* * *' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS section FROM blocks")

@@ -68,7 +68,7 @@ def style_by_pattern(styles: DataFrame, usage: DataFrame, pattern: str, taken: D
 def style_usage(blocks: DataFrame, styles: DataFrame) -> DataFrame:
     """Rows (doc_id, style_id, uses, first_idx): non-empty paragraphs of each style, the default style for those without."""
     default = styles.filter("is_default AND type = 'paragraph'").groupBy("doc_id").agg(F.min_by("style_id", "ord").alias("__default"))
-    rows = blocks.filter("NOT is_empty AND kind = 'paragraph'").join(F.broadcast(default), "doc_id", "left")
+    rows = blocks.filter("NOT is_empty AND kind = 'paragraph'").join(default, "doc_id", "left")
     return rows.groupBy("doc_id", F.coalesce("style_id", "__default").alias("style_id")).agg(F.count("*").alias("uses"), F.min("idx").alias("first_idx"))
 
 
@@ -123,22 +123,55 @@ def body_section(sections: DataFrame) -> DataFrame:
     return sections.groupBy("doc_id").agg(F.coalesce(F.min(F.when(arabic, F.col("ord"))), F.max("ord")).alias("ord"))
 
 
-def chapter_sink(blocks: DataFrame) -> DataFrame:
-    """(doc_id, before, after): the usual number of blanks before and after chapter titles; the larger of equally usual ones.
+def in_chapter_style(facts: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Paragraphs with pos (0, 1, ... in order) and titled: whether their style is the design's chapter style.
 
-    Runs of blanks are islands: a title's blanks are those between it and the nearest paragraph that isn't one.
+    ``facts`` has the effective style_id; ``chapters`` has one row a design: doc_id, chapter_style (null where there is none)
+    and style_breaks, whether that style itself starts a page.
     """
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    blank = F.col("role").isin("empty")
-    solid = F.when(~blank, F.col("idx"))
-    rows = blocks.withColumn("__prev", F.last(solid, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("__next", F.first(solid, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    titles = rows.filter("role = 'chapterTitle'").select("doc_id", (F.col("idx") - F.coalesce("__prev", F.lit(-1)) - 1).alias("before"), (F.coalesce(F.col("__next") - F.col("idx") - 1, F.lit(0))).alias("after"))
+    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")) - 1
+    rows = facts.withColumn("pos", pos).join(chapters.select("doc_id", "chapter_style"), "doc_id")
+    return rows.withColumn("titled", F.coalesce(F.col("style_id") == F.col("chapter_style"), F.lit(False)))
+
+
+def chapter_sink(facts: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(doc_id, before, after) of every design in ``chapters``: the usual number of blanks in the chapter style around titles.
+
+    Of equally usual numbers the larger; 0 without titles. A title's blanks are those between it and the nearest paragraph
+    that isn't a blank in that style; at the end of the text they are counted up to it.
+    """
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    rows = in_chapter_style(facts, chapters)
+    other = F.when(~(F.col("is_empty") & F.col("titled")), F.col("pos"))
+    rows = rows.withColumn("__prev", F.last(other, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("__next", F.first(other, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.withColumn("__end", F.max("pos").over(Window.partitionBy("doc_id")) + 1)
+    before = F.col("pos") - F.coalesce("__prev", F.lit(-1)) - 1
+    after = F.coalesce("__next", "__end") - F.col("pos") - 1
+    titles = rows.filter("titled AND NOT is_empty").select("doc_id", before.alias("before"), after.alias("after"))
     usual = lambda c: titles.groupBy("doc_id", c).count().groupBy("doc_id").agg(F.max_by(c, F.struct("count", c)).alias(c))
-    return usual("before").join(usual("after"), "doc_id")
+    out = chapters.select("doc_id").join(usual("before"), "doc_id", "left").join(usual("after"), "doc_id", "left")
+    return out.select("doc_id", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
+
 
+def starts_on_new_page(facts: DataFrame, chapters: DataFrame, least: float = 0.6) -> DataFrame:
+    """(doc_id, new_page) of every design: whether its chapter style, or most titles in it, start a page.
 
-def starts_on_new_page(blocks: DataFrame, least: float = 0.6) -> DataFrame:
-    """(doc_id, new_page): whether most chapter titles after the first content start a page."""
-    titles = blocks.filter(F.col("role") == "chapterTitle")
-    return titles.groupBy("doc_id").agg((F.avg(F.col("broken_before").cast("double")) >= F.lit(least)).alias("new_page"))
+    A title starts one by its own break, as the first paragraph with text, or if the one before it holds a page break or
+    ends a section. Without titles there is no evidence, and chapters start a page.
+    """
+    solid = F.when(~F.col("is_empty"), F.struct(F.col("trailing_page_break") | F.col("leading_page_break") | F.col("section_break_type").isNotNull()))
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = in_chapter_style(facts, chapters).withColumn("__prev", F.last(solid, ignorenulls=True).over(w))
+    starts = F.col("page_break_before") | F.col("leading_page_break") | F.col("__prev").isNull() | F.coalesce(F.col("__prev.col1"), F.lit(False))
+    share = rows.filter("titled AND NOT is_empty").groupBy("doc_id").agg(F.avg(starts.cast("double")).alias("__share"))
+    out = chapters.join(share, "doc_id", "left")
+    by_style = F.col("chapter_style").isNotNull() & F.coalesce("style_breaks", F.lit(False))
+    return out.select("doc_id", (by_style | F.coalesce(F.col("__share") >= F.lit(least), F.lit(True))).alias("new_page"))
+
+
+def styles_by_usage(styles: DataFrame, usage: DataFrame) -> DataFrame:
+    """Styles with uses and place: 1 for the most used style of each design, names in order of code points on ties."""
+    rows = styles.join(usage.select("doc_id", "style_id", "uses"), ["doc_id", "style_id"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    order = Window.partitionBy("doc_id").orderBy(F.col("uses").desc(), "style_name", "ord")
+    return rows.withColumn("place", F.row_number().over(order))

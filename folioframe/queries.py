@@ -16,6 +16,7 @@ from folioframe.operators import choices as H
 from folioframe.operators import compose as C
 from folioframe.operators import details as D
 from folioframe.operators import preflight as R
+from folioframe.operators import proofs as V
 from folioframe.operators import structure as S
 from folioframe.operators import styles as Y
 from folioframe.operators.classify import classify, with_context
@@ -124,8 +125,7 @@ def manuscript_summary(spark, sf_dir):
 
 @query(O.ROLES + " SELECT doc_id, idx, role, confidence, preview FROM roles WHERE role <> 'pageBreak' AND (role NOT IN ('empty', 'body', 'bodyFirst') OR confidence < 6e-1)")
 def review_list(spark, sf_dir):
-    rows = _analysed(spark, sf_dir).filter((F.col("role") != "pageBreak") & (~F.col("role").isin("empty", "body", "bodyFirst") | (F.col("confidence") < 0.6)))
-    return rows.select("doc_id", "idx", "role", "confidence", "preview")
+    return _analysed(spark, sf_dir).filter(V.is_interesting()).select("doc_id", "idx", "role", "confidence", "preview")
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +262,7 @@ def front_matter_details(spark, sf_dir):
     + """ SELECT doc_id, role, idx FROM (SELECT doc_id, role, idx, row_number() OVER (PARTITION BY doc_id, role ORDER BY idx) AS n FROM roles WHERE NOT is_empty) WHERE n <= 4"""
 )
 def first_lines_by_role(spark, sf_dir):
-    rows = _analysed(spark, sf_dir).filter("NOT is_empty").withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "role").orderBy("idx")))
+    rows = _analysed(spark, sf_dir).filter(V.is_drawable()).withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "role").orderBy("idx")))
     return rows.filter("n <= 4").select("doc_id", "role", "idx")
 
 
@@ -272,11 +272,7 @@ def first_lines_by_role(spark, sf_dir):
     SELECT a.doc_id, a.idx, b.idx AS near_idx FROM drawn a JOIN drawn b ON a.doc_id = b.doc_id AND b.n BETWEEN a.n - 2 AND a.n + 2 AND b.n <> a.n WHERE a.role = 'chapterTitle'"""
 )
 def lines_around_titles(spark, sf_dir):
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    rows = _analysed(spark, sf_dir).filter("NOT is_empty")
-    near = F.array(*[f(F.col("idx"), k).over(w) for f in (F.lag, F.lead) for k in (1, 2)])
-    rows = rows.select("doc_id", "idx", "role", near.alias("near")).filter("role = 'chapterTitle'")
-    return rows.select("doc_id", "idx", F.explode("near").alias("near_idx")).filter("near_idx IS NOT NULL")
+    return V.lines_around(_analysed(spark, sf_dir), F.col("role") == "chapterTitle", 2, 2)
 
 
 _STYLES = ("body", "bodyFirst", "chapterTitle", "sceneBreak")

@@ -40,9 +40,9 @@ def test_alignment_options_and_heads(spark):
     assert {r["role"]: r["v_align"] for r in Pr.role_alignment(facts, sections, roles).collect()} == {"frontMatterTitle": "center", "copyright": "bottom"}
     profile = spark.createDataFrame([(1, False, True, True, True, False, True, False, 2)], "doc_id long, odd_page boolean, new_page boolean, first_no_indent boolean, has_headers boolean, hyphenates boolean, justified boolean, has_contents boolean, chapters int")
     assert tuple(Pr.suggest_options(profile).first())[1:] == ("newPage", True, True, True, True)
-    heads = spark.createDataFrame([(1, "h1", "BOOK TITLE", 0), (1, "h2", "Author Name", 1), (1, "h3", "Mine", 2), (1, "h4", "12", 3), (1, "h5", "Mine", 4)], "doc_id long, part string, text string, ord int")
+    heads = spark.createDataFrame([(1, "h1", "BOOK TITLE", 0), (1, "h2", "Author Name", 1), (1, "h3", "Mine", 2), (1, "h4", "12", 3), (1, "h5", "Mine", 4), (1, "h6", " Page  3", 5), (1, "h7", "Mine", 6)], "doc_id long, part string, text string, ord int")
     details = spark.createDataFrame([(1, "Night", "Ann Lee", "")], "doc_id long, title string, author string, subtitle string")
-    assert {r["part"]: r["new_text"] for r in Pr.running_heads(heads, details).collect()} == {"h1": "NIGHT", "h2": "Ann Lee", "h3": "Mine", "h4": "12", "h5": "Mine"}
+    assert {r["part"]: r["new_text"] for r in Pr.running_heads(heads, details).collect()} == {"h1": "NIGHT", "h2": "Ann Lee", "h3": "Mine", "h4": "12", "h5": "Mine", "h6": " Page  3", "h7": "Mine"}
     assert Pr.header_words(heads).first()["header_texts"] == ["BOOK TITLE", "Author Name", "Mine"]
 
 

@@ -178,8 +178,27 @@ def test_rebinding_against_plain_python(spark):
     assert {(r["doc_id"], r["ord"]): (r["idx"], r["changes"]) for r in got} == want
 
 
+def sunk(spark, counts, style="C"):
+    seq = [r for n in counts for r in ([("", "C")] * n + [("Title", "C"), ("text", "B"), ("", "B")])]
+    facts = spark.createDataFrame([(1, i, not t, s) for i, (t, s) in enumerate(seq)] + [(2, 0, False, "B")], "doc_id long, idx int, is_empty boolean, style_id string")
+    chapters = spark.createDataFrame([(1, style, False), (2, None, None)], "doc_id long, chapter_style string, style_breaks boolean")
+    return {r["doc_id"]: (r["before"], r["after"]) for r in Y.chapter_sink(facts, chapters).collect()}
+
+
 @pytest.mark.parametrize("counts,want", [([3, 3, 1], 3), ([1, 2, 2, 1], 2)])
 def test_chapter_sink_prefers_the_larger(spark, counts, want):
-    seq = [r for n in counts for r in (["empty"] * n + ["chapterTitle", "body"])]
-    df = spark.createDataFrame([(1, i, r) for i, r in enumerate(seq)], "doc_id long, idx int, role string")
-    assert Y.chapter_sink(df).first()["before"] == want
+    assert sunk(spark, counts) == {1: (want, 0), 2: (0, 0)}
+
+
+def test_chapter_sink_counts_blanks_of_its_style_up_to_the_end(spark):
+    facts = spark.createDataFrame([(1, 0, True, "B"), (1, 1, True, "C"), (1, 2, False, "C"), (1, 3, True, "C"), (1, 4, True, "C")], "doc_id long, idx int, is_empty boolean, style_id string")
+    chapters = spark.createDataFrame([(1, "C", False)], "doc_id long, chapter_style string, style_breaks boolean")
+    assert tuple(Y.chapter_sink(facts, chapters).first()) == (1, 1, 2)
+
+
+def test_chapters_start_pages_by_style_by_breaks_or_without_evidence(spark):
+    rows = [(1, 0, False, "C", False, False, False, None), (1, 1, False, "B", False, False, True, None), (1, 2, True, "B", False, False, False, None), (1, 3, False, "C", False, False, False, None), (1, 4, False, "C", False, False, False, None), (1, 5, False, "C", False, False, False, None)]
+    rows += [(2, *r[1:]) for r in rows] + [(3, 0, False, "B", False, False, False, None)]
+    facts = spark.createDataFrame(rows, "doc_id long, idx int, is_empty boolean, style_id string, page_break_before boolean, leading_page_break boolean, trailing_page_break boolean, section_break_type string")
+    chapters = spark.createDataFrame([(1, "C", False), (2, "C", True), (3, "C", None), (4, None, None)], "doc_id long, chapter_style string, style_breaks boolean")
+    assert {r["doc_id"]: r["new_page"] for r in Y.starts_on_new_page(facts, chapters).collect()} == {1: False, 2: True, 3: True, 4: True}
