@@ -71,6 +71,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document the one of its group of equal texts that stays, and the hash of its text."""
     return exact_dedup(table(spark, sf_dir, "documents"), digest=True)
 
 

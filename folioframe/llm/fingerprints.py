@@ -47,6 +47,19 @@ def likeness(a: str, b: str, count: int) -> Column:
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x) / {float(count)}D")
 
 
+def bounds_below(column: str, bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` are below the column, by halving; null for null."""
+    if not bounds:
+        return F.lit(0)
+    values = f"array({', '.join(f'{x}L' for x in bounds)})"
+    middle = "cast((s.low + s.high) div 2 as int)"
+    right, left = f"named_struct('low', {middle} + 1, 'high', s.high)", f"named_struct('low', s.low, 'high', {middle})"
+    step = f"if(s.low >= s.high, s, if(get({values}, {middle}) < {column}, {right}, {left}))"
+    steps = len(bounds).bit_length()
+    found = f"aggregate(sequence(1, {steps}), named_struct('low', 0, 'high', {len(bounds)}), (s, i) -> {step}).low"
+    return F.expr(f"if({column} IS NULL, NULL, {found})")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = 64, seed: int = 1) -> DataFrame:
     """One row for each row of ``docs``: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -67,8 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"))
     bounds = docs.select(F.expr(f"percentile_approx({id_col}, array({', '.join(f'{i / blocks}D' for i in range(1, blocks))}), 10000)").alias("q")).first()["q"] or []
     bounds = sorted({int(x) for x in bounds})
-    block = F.expr(f"size(filter(array({', '.join(f'{x}L' for x in bounds)}), x -> x < __id))") if bounds else F.lit(0)
-    base = base.withColumn("__b", F.coalesce(block, F.lit(0))).withColumn("__h", F.xxhash64("__text"))
+    base = base.withColumn("__b", F.coalesce(bounds_below("__id", bounds), F.lit(0))).withColumn("__h", F.xxhash64("__text"))
     first = base.groupBy("__b").agg(F.max(F.struct(F.coalesce(F.col("__id").cast("long"), F.lit(-(2**63))).alias("__i"), (-F.col("__h")).alias("__h"))).alias("__f"))
     first = cut(first.select("__b", "__f.*"))
     every = Window.partitionBy()
@@ -110,4 +122,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints of every document and of its edited text."""
     return fingerprints(table(spark, sf_dir, "documents"))

@@ -152,4 +152,5 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
     return judge_urls(table(spark, sf_dir, "pages"))

@@ -115,6 +115,12 @@ def test_fingerprints(spark, nothing):
     assert sorted(r["n_chars"] for r in fingerprints.fingerprints(single).collect()) == [3, 7, 7]
 
 
+def test_bounds_are_found_by_halving(spark):
+    for bounds in ([], [5], [1, 4, 9], [0, 2, 4, 6, 8, 10, 12, 14]):
+        rows = spark.range(-2, 18).select("id", fingerprints.bounds_below("id", bounds).alias("n")).collect()
+        assert all(r["n"] == sum(b < r["id"] for b in bounds) for r in rows)
+
+
 def water(sizes, share=1.5, most=2.0, weights=(3, 1, 2)):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % 3] for i, s in enumerate(order)}
