@@ -19,27 +19,33 @@ from folioframe.llm.source_mix import mixed_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from the labels of the training fold among ``docs``."""
+    """Documents that the classifier rejects go. It learns from the labels of the training fold among ``docs``.
+
+    Null and empty texts are scored like any other. Without a label 1 nothing is learned and all documents stay.
+    """
     return drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest id stays."""
+    """Of equal texts, the row with the largest id stays; null and empty texts are equal, and null ids are the smallest."""
     return drop_exact_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a Jaccard similarity of 0.8 or more of their word 5-grams, one stays."""
+    """Of texts linked by a Jaccard similarity of 0.8 or more of their word 5-grams, one stays; texts without words are alike."""
     return drop_near_copies(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to the sources' target weights takes them: never, once or twice."""
+    """Documents as often as the mix to the sources' target weights draws them: never, once or twice, shard by shard.
+
+    Null sources are one source. Texts without words are never drawn.
+    """
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, placed in sequences of 2,048 tokens."""
+    """The pieces of all documents, placed in sequences of 2,048 tokens; a null or empty text is one piece of one token."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -50,11 +56,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of ``documents``, each one's rows stored before the next reads them."""
+    """All stages over the whole of ``documents``, each one's rows stored before the next reads them.
+
+    An empty table gives an empty result. A stage's rows are removed once the next stage's are stored; the last stage
+    keeps the pieces in a checkpoint of its own, so the rows that it read can go as well.
+    """
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs, path = stored(stage(spark, docs, sf_dir), name)
         if before:
             remove(spark, before)
         before = path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, before)
+    return out
