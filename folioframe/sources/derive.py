@@ -39,3 +39,33 @@ def number_blocks(rows: DataFrame) -> DataFrame:
     """Numbers the paragraphs of each document from 0 by ``ord``, which goes."""
     idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
     return rows.withColumn("idx", idx).drop("ord")
+
+
+def formatted_blocks(blocks: DataFrame) -> DataFrame:
+    """The paragraphs with formatting of every kind that packages hold, spread by remainders of idx and doc_id.
+
+    Plain texts have none of it: breaks, styles, outline levels, indents, lists, bold, pictures, tables and underlining.
+    """
+    idx, doc = F.col("idx"), F.col("doc_id")
+    at = lambda n, k: (idx + doc) % n == k
+    styles = F.array(*map(F.lit, ("Heading 1", "heading 3", "Title", "Subtitle", "Block Quotation")))
+    named, level, table, picture = (idx * 3 + doc) % 29, (idx * 5 + doc) % 31, at(23, 7), at(33, 10)
+    return blocks.select(
+        "*",
+        F.when(table, "table").otherwise("paragraph").alias("kind"),
+        F.when(named.between(1, 5), F.get(styles, (named - 1).cast("int"))).alias("style_name"),
+        F.when(level.between(1, 2), level - 1).cast("int").alias("outline_level"),
+        F.when((idx + 2 * doc) % 13 == 3, 720).alias("left_indent_twips"),
+        F.when(idx % 2 == 0, 360).otherwise(0).alias("first_line_indent_twips"),
+        at(17, 4).alias("page_break_before"),
+        at(19, 5).alias("leading_page_break"),
+        at(37, 6).alias("trailing_page_break"),
+        F.when(at(41, 8), "nextPage").alias("section_break_type"),
+        at(21, 9).alias("has_numbering"),
+        at(10, 2).alias("all_bold"),
+        (picture & ~table).alias("has_image"),
+        F.when(picture & ~table, 4000 + idx % 9 * 900).cast("int").alias("image_width_twips"),
+        F.when(picture & ~table, 100 + idx % 4 * 80).cast("int").alias("image_min_dpi"),
+        F.when(table, 5000 + idx % 7 * 900).cast("int").alias("table_width_twips"),
+        F.when(idx % 9 == 4, 1).otherwise(0).cast("int").alias("underlined_runs"),
+    )
