@@ -52,7 +52,7 @@ def lead_in_length(text: Column) -> Column:
 
 
 def smarten(text: Column, before: Column | None = None) -> Column:
-    """Dashes, ellipses and curly quotes. ``before`` is the last character of the run before, if any.
+    """Dashes, ellipses and curly quotes. ``before`` is the last character of the run before; null at a paragraph's start.
 
     Quotes are told apart by the character before as typed: one that doesn't open goes first, and closing marks, like
     typed ones, open nothing, so what is left then opens.
@@ -61,7 +61,7 @@ def smarten(text: Column, before: Column | None = None) -> Column:
     t = F.regexp_replace(t, r"(\S)--(\S)", "$1—$2")
     t = F.regexp_replace(F.regexp_replace(t, " -- ", "—"), r"\.\.\.", "…")
     if before is not None:
-        before = F.coalesce(before, F.lit("x"))
+        before = F.coalesce(before, F.lit(" "))
         t = F.concat(before, t)
     for mark, closing in (('"', "”"), ("'", "’")):
         t = F.regexp_replace(t, f"(?<=[^{OPENS_QUOTE[1:]}){mark}", closing)

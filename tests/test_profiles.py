@@ -109,3 +109,30 @@ def test_warnings_come_once(spark):
     row = spark.range(1)
     out = row.select(Pr.all_warnings(Pr.warnings((F.lit(True), "a"), (F.lit(None).cast("boolean"), "b")), F.lit(None).cast("array<string>"), Pr.warnings((F.lit(True), "c"), (F.lit(True), "a"))).alias("w"))
     assert out.first()["w"] == ["a", "c"]
+
+
+def test_runs_keep_their_emphasis(spark):
+    from folioframe.operators import packages as K
+
+    plan = spark.createDataFrame(
+        [(1, 0, 0, "Chapter 1", None), (1, 1, 1, "It was “late”, and she knew.", 6), (1, 2, None, "§", None), (1, 3, 3, "", None)],
+        "doc_id long, out_ord int, source_idx int, text string, lead_in int",
+    )
+    runs = spark.createDataFrame(
+        [(1, 0, 0, "Chapter I", True, None, None), (1, 1, 0, " \t", None, None, None), (1, 1, 1, "\tIt", None, True, None), (1, 1, 2, ' was "', None, None, None), (1, 1, 3, "late", None, None, True), (1, 1, 4, '", and she knew.', None, None, None)],
+        "doc_id long, idx int, run int, text string, bold boolean, italic boolean, underline boolean",
+    )
+    out = K.written_runs(plan, runs, {"smart": True}).orderBy("out_ord", "run", "part").collect()
+    assert [(r["out_ord"], r["text"], r["bold"], r["italic"], r["small_caps"]) for r in out] == [
+        (0, "Chapter 1", False, False, False),
+        (1, "It", False, True, True),
+        (1, " was", False, False, True),
+        (1, " “", False, False, False),
+        (1, "late", False, True, False),
+        (1, "”, and she knew.", False, False, False),
+        (2, "§", False, False, False),
+    ]
+    xml = {r["out_ord"]: r["xml"] for r in K.runs_xml(K.written_runs(plan, runs, {"smart": True, "underline_to_italic": False})).collect()}
+    assert xml[1].startswith('<w:r><w:rPr><w:i/><w:smallCaps/></w:rPr><w:t xml:space="preserve">It</w:t></w:r>') and '<w:u w:val="single"/></w:rPr><w:t xml:space="preserve">late' in xml[1]
+    plain = K.written_runs(plan, runs, {"smart": True, "keep_emphasis": False})
+    assert not plain.filter("bold OR italic OR underline").count()
