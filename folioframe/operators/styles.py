@@ -175,3 +175,14 @@ def styles_by_usage(styles: DataFrame, usage: DataFrame) -> DataFrame:
     rows = styles.join(usage.select("doc_id", "style_id", "uses"), ["doc_id", "style_id"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
     order = Window.partitionBy("doc_id").orderBy(F.col("uses").desc(), "style_name", "ord")
     return rows.withColumn("place", F.row_number().over(order))
+
+
+def equivalent_styles(used: DataFrame, styles: DataFrame, usage: DataFrame, pattern: str) -> DataFrame:
+    """Styles (doc_id, style_id) of notes with new_style: themselves where the design has them, else its style of that kind.
+
+    The design's style is the most used one whose name or id fits ``pattern``; without one new_style is null, and goes.
+    """
+    known = styles.filter("style_id IS NOT NULL").select("doc_id", "style_id").distinct().withColumn("__known", F.lit(True))
+    other = style_by_pattern(styles, usage, pattern).withColumnRenamed("style_id", "__other")
+    rows = used.join(known, ["doc_id", "style_id"], "left").join(other, "doc_id", "left")
+    return rows.withColumn("new_style", F.when(F.col("__known"), F.col("style_id")).otherwise(F.col("__other"))).drop("__known", "__other")

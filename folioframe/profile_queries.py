@@ -156,3 +156,59 @@ def analysis_json(spark, sf_dir):
     """The summary of each manuscript as JSON, as ``DataFrame.write.json`` and ``write.text`` store it."""
     rows = summarize(_analysed(spark, sf_dir))
     return rows.select("doc_id", F.to_json(F.struct("doc_id", "words", "paragraphs", "chapters", "parts", "scene_breaks")).alias("json"))
+
+
+_SIDED = """WITH heads AS (SELECT o_custkey AS doc_id, o_orderkey AS ord, 'rId' || o_orderkey % 4 AS rel_id, ['default', 'even', 'first'][o_orderkey // 4 % 3 + 1] AS side, CASE WHEN o_orderkey % 4 = 3 THEN 'footer' ELSE 'header' END AS kind,
+    CASE WHEN o_orderkey % 5 > 0 THEN 'Head ' || o_orderkey ELSE ' ' END AS text, o_orderkey % 7 = 0 AS has_page_number FROM orders
+    ), sides AS (SELECT doc_id, rel_id, arg_min(side, ord) AS side FROM heads WHERE kind = 'header' GROUP BY ALL)"""
+
+
+def _sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return _table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("doc_id"),
+        key.alias("ord"),
+        F.concat(F.lit("rId"), (key % 4).cast("string")).alias("rel_id"),
+        F.get(F.array(F.lit("default"), F.lit("even"), F.lit("first")), (F.floor(key / 4) % 3).cast("int")).alias("side"),
+        F.when(key % 4 == 3, "footer").otherwise("header").alias("kind"),
+        F.when(key % 5 > 0, F.concat(F.lit("Head "), key.cast("string"))).otherwise(" ").alias("text"),
+        (key % 7 == 0).alias("has_page_number"),
+    )
+
+
+@query(_SIDED + " SELECT * FROM sides")
+def head_sides(spark, sf_dir):
+    return Pr.head_sides(_sided(spark, sf_dir))
+
+
+@query(
+    _SIDED
+    + """ SELECT h.doc_id, h.ord, CASE WHEN h.kind = 'header' AND s.side IN ('even', 'default') AND NOT has_page_number AND trim(text) <> '' THEN CASE s.side WHEN 'even' THEN 'Ann Lee' ELSE 'Night' END ELSE text END AS new_text
+    FROM heads h LEFT JOIN sides s USING (doc_id, rel_id)"""
+)
+def heads_by_side(spark, sf_dir):
+    heads = _sided(spark, sf_dir)
+    return Pr.rewritten_heads(heads, heads, "custom", "Ann Lee ", "Night").select("doc_id", "ord", "new_text")
+
+
+@query(
+    _STYLED
+    + """, used AS (SELECT DISTINCT doc_id, ['S1', 'FootnoteText', 'N'][idx % 3 + 1] AS style_id FROM facts
+    ), best AS (SELECT doc_id, CASE WHEN coalesce(max(uses) FILTER (style_id = 'S1'), 0) >= coalesce(max(uses) FILTER (style_id = 'S2'), 0) THEN 'S1' ELSE 'S2' END AS style_id FROM facts LEFT JOIN uses USING (doc_id) GROUP BY doc_id)
+    SELECT u.doc_id, u.style_id, CASE WHEN u.style_id = 'FootnoteText' THEN b.style_id ELSE u.style_id END AS new_style FROM used u JOIN best b USING (doc_id)"""
+)
+def note_styles(spark, sf_dir):
+    facts, styles = _styled(spark, sf_dir)
+    used = facts.select("doc_id", F.get(F.array(F.lit("S1"), F.lit("FootnoteText"), F.lit("N")), F.col("idx") % 3).alias("style_id")).distinct()
+    return Y.equivalent_styles(used, styles, Y.style_usage(facts, styles).drop("first_idx"), "(?i)chapter|break")
+
+
+@query(
+    _REPORT
+    + """ SELECT doc_id, id FROM (SELECT doc_id, unnest([{'id': 'chapter-numbers-renumbered', 'on': numbers >= 2}, {'id': 'straight-quotes-on', 'on': quotes > 0}, {'id': 'double-spaces-on', 'on': spaces > 0}], recursive := true) FROM report) WHERE "on" """
+)
+def checks_of_mended_habits(spark, sf_dir):
+    """What the report says where numbers, quotes and spaces are being mended."""
+    options = _PREFLIGHT | {"renumber": True, "smart_typography": True, "collapse_spaces": True}
+    checks = R.preflight(_analysed(spark, sf_dir), None, options)
+    return checks.filter("id = 'chapter-numbers-renumbered' OR id LIKE '%-on'").select("doc_id", "id")
