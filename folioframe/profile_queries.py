@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioframe import oracle as O
 from folioframe.design_queries import _STYLED, _styled, _table
+from folioframe.operators import choices as H
 from folioframe.operators import compose as C
 from folioframe.operators import preflight as R
 from folioframe.operators import profile as Pr
@@ -212,3 +213,53 @@ def checks_of_mended_habits(spark, sf_dir):
     options = _PREFLIGHT | {"renumber": True, "smart_typography": True, "collapse_spaces": True}
     checks = R.preflight(_analysed(spark, sf_dir), None, options)
     return checks.filter("id = 'chapter-numbers-renumbered' OR id LIKE '%-on'").select("doc_id", "id")
+
+
+_FILES = """WITH files AS (SELECT o_orderkey AS doc_id, '{"format":"' || CASE WHEN o_orderkey % 10 > 0 THEN 'tag' ELSE 'other' END || '","options":{"bookDetails":{"title":' || ['"Night"', '7', 'null', '"A B"'][o_orderkey % 4 + 1] || ',"isbn":"' || o_custkey || '","extra":1},"extraSections":{"contents":'
+    || ['true', 'false', '"true"'][o_orderkey % 3 + 1] || '},"runningHeads":{"mode":' || ['"custom"', '"loud"', '3', '"leave"'][o_custkey % 4 + 1] || ',"verso":' || ['"Left"', 'false'][o_custkey % 2 + 1] || '},"roleStyles":{"body":' || ['"Text"', 'null', '5'][o_custkey % 3 + 1]
+    || ',"poem":"P"},"sceneBreakText":' || ['"* * *"', 'null', '[]'][o_orderkey % 3 + 1] || ',"chapterSpaceBefore":' || ['4', '-1', '2.5', '"3"', 'null'][o_orderkey % 5 + 1] || '}}' AS json FROM orders)"""
+
+
+def _choice_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    one = lambda n, *values: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+    parts = (
+        F.lit('{"format":"'),
+        F.when(key % 10 > 0, "tag").otherwise("other"),
+        F.lit('","options":{"bookDetails":{"title":'),
+        one(key % 4, '"Night"', "7", "null", '"A B"'),
+        F.lit(',"isbn":"'),
+        cust.cast("string"),
+        F.lit('","extra":1},"extraSections":{"contents":'),
+        one(key % 3, "true", "false", '"true"'),
+        F.lit('},"runningHeads":{"mode":'),
+        one(cust % 4, '"custom"', '"loud"', "3", '"leave"'),
+        F.lit(',"verso":'),
+        one(cust % 2, '"Left"', "false"),
+        F.lit('},"roleStyles":{"body":'),
+        one(cust % 3, '"Text"', "null", "5"),
+        F.lit(',"poem":"P"},"sceneBreakText":'),
+        one(key % 3, '"* * *"', "null", "[]"),
+        F.lit(',"chapterSpaceBefore":'),
+        one(key % 5, "4", "-1", "2.5", '"3"', "null"),
+        F.lit("}}"),
+    )
+    return _table(spark, sf_dir, "orders").select(key.alias("doc_id"), F.concat(*parts).alias("json"))
+
+
+@query(
+    _FILES
+    + """, kinds AS (SELECT *, json_extract(json, '$.options') AS o, json_extract_string(json, '$.format') = 'tag' AS known FROM files)
+    SELECT doc_id, CASE WHEN known THEN CASE WHEN json_type(o, '$.bookDetails.title') = 'VARCHAR' THEN json_extract_string(o, '$.bookDetails.title') ELSE '' END END AS title, CASE WHEN known THEN json_extract_string(o, '$.bookDetails.isbn') END AS isbn, CASE WHEN known THEN '' END AS author,
+    CASE WHEN known THEN coalesce(json_type(o, '$.extraSections.contents') = 'BOOLEAN' AND json_extract_string(o, '$.extraSections.contents') = 'true', FALSE) END AS contents,
+    CASE WHEN known THEN CASE WHEN json_extract_string(o, '$.runningHeads.mode') IN ('auto', 'custom', 'leave') THEN json_extract_string(o, '$.runningHeads.mode') ELSE 'auto' END END AS mode,
+    CASE WHEN known THEN CASE WHEN json_type(o, '$.runningHeads.verso') = 'VARCHAR' THEN 'Left' ELSE '' END END AS verso,
+    CASE WHEN known THEN CASE json_type(o, '$.roleStyles.body') WHEN 'VARCHAR' THEN 'body=Text' WHEN 'NULL' THEN 'body=-' ELSE '' END END AS role_styles,
+    CASE WHEN known AND json_type(o, '$.sceneBreakText') = 'VARCHAR' THEN json_extract_string(o, '$.sceneBreakText') END AS scene_break,
+    CASE WHEN known AND json_type(o, '$.chapterSpaceBefore') IN ('BIGINT', 'UBIGINT') AND json_extract_string(o, '$.chapterSpaceBefore') NOT LIKE '-%' THEN json_extract_string(o, '$.chapterSpaceBefore')::BIGINT END AS space_before FROM kinds"""
+)
+def nested_choices(spark, sf_dir):
+    rows = H.nested_options(_choice_files(spark, sf_dir), tag="tag")
+    styles = F.array_join(F.transform("role_styles", lambda x: F.concat(x["role"], F.lit("="), F.coalesce(x["style_id"], F.lit("-")))), ",")
+    columns = ("details.title", "details.isbn", "details.author", "sections.contents", "heads.mode", "heads.verso")
+    return rows.select("doc_id", *columns, styles.alias("role_styles"), "scene_break", "space_before")
