@@ -270,6 +270,51 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in url_filter.judge_urls(pages.filter("url LIKE '%x.io%'")).collect()} == {"allow"}
 
 
+def plain_ratio(url, counts, order, weight):
+    """Mean log2 ratio by dictionaries of contexts: counts[label] has (context, character) and (context, None)."""
+    text, total = url + "\x02", 0.0
+    for i, c in enumerate(text):
+        logs = []
+        for label in (0, 1):
+            p = 1 / 256
+            for k in range(order + 1):
+                context = ("\x01" * order + text)[order + i - k : order + i]
+                p = (counts[label][k, context, c] + weight * p) / (counts[label][k, context, None] + weight)
+            logs.append(math.log2(p))
+        total += logs[0] - logs[1]
+    return total / len(text)
+
+
+def test_url_model_equals_plain_counts(spark):
+    import pandas as pd
+
+    rng, order, bins, weight = random.Random(11), 3, 1 << 22, 2.0
+    urls = [(f"http://{rng.choice(['ab', 'ba', 'abc'])}{rng.randint(0, 99)}.org/{rng.choice(['x', 'yy'])}", rng.randint(0, 1)) for _ in range(300)]
+    rows = spark.createDataFrame([(u, (u, "block" if y else "allow")) for u, y in urls], "__u string, __rule struct<rule:string,verdict:string>")
+    got, _ = url_filter.fit_urls(rows, order, bins, weight, "__u")
+    counts = (Counter(), Counter())
+    for u, y in urls:
+        if zlib.crc32(u.encode()) % 4 == 2:
+            continue
+        text = u + "\x02"
+        for i, c in enumerate(text):
+            for k in range(order + 1):
+                context = ("\x01" * order + text)[order + i - k : order + i]
+                counts[y][k, context, c] += 1
+                counts[y][k, context, None] += 1
+    asked = [u for u, _ in urls[:40]] + ["", "ftp://nothing.like/it?", "http://ab1.org/x"]
+    want = [plain_ratio(u, counts, order, weight) for u in asked]
+    assert url_filter.log_ratio(pd.Series(asked), got, order, bins, weight) == pytest.approx(want, abs=1e-9)
+
+
+def test_url_filter_takes_very_long_and_repeated_urls(spark):
+    long = "http://x.io/" + "a" * 300_000
+    rows = [(1, long), (2, long), (3, None), (3, None), (4, "http://example.com/en/7"), (5, "http://example.com/en/8"), (6, "http://example.net/de/8")]
+    out = [(r["page_id"], r["verdict"], r["log_ratio"]) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()]
+    by = {i: (v, x) for i, v, x in out}
+    assert len(out) == 7 and by[1] == by[2] and by[4][0] == "allow" and by[5][0] == by[6][0] == "block"
+
+
 def test_url_model_tells_its_classes_apart():
     import pandas as pd
 
@@ -362,6 +407,40 @@ def test_language_id(spark, nothing):
     assert language_id.identify(empty, language_id.fit_languages(empty)).count() == 0
 
 
+def pieces(word):
+    """The pieces of a word that the language model counts: 2 to 5 bytes between marks of its ends, and the whole."""
+    raw = b"\x02" + word.lower().encode() + b"\x03"
+    return [raw[i : i + n] for n in (2, 3, 4, 5) for i in range(len(raw) - n + 1)] + [("whole", raw)]
+
+
+def test_word_scores_equal_plain_counts(spark):
+    rng, bins = random.Random(12), 1 << 22
+    vocab = {"aa": ["kato", "mira", "solu", "tepi", "été"], "bb": ["brugh", "schnok", "wulft", "kraam", "mira"]}
+    rows = [(i, " ".join(rng.choice(vocab[lang]) for _ in range(20)), lang) for i, lang in enumerate(["aa", "bb"] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_languages(docs, bins=bins)
+    counts, held = {"aa": Counter(), "bb": Counter()}, {r[0] for r in docs.filter(~is_training_row()).collect()}
+    for i, text, lang in rows:
+        if i not in held:
+            for w in text.split():
+                counts[lang].update(pieces(w))
+    log = lambda lang, x: math.log((counts[lang][x] + 0.5) / (sum(counts[lang].values()) + 0.5 * bins))
+    words = ["kato", "mira", "brugh", "unseen", "été", "KATO"]
+    scores = language_id.WordScores(model)
+    scores.learn([words])
+    for w in words:
+        sums = [sum(log(lang, x) for x in pieces(w)) for lang in ("aa", "bb")]
+        assert scores.of([w])[0][0] == pytest.approx([x - max(sums) for x in sums], abs=2e-3)
+
+
+def test_language_of_equal_and_very_long_texts(spark):
+    rows = [(i, " ".join(["kato mira solu", "brugh schnok wulft"][i % 2].split() * 8), ["aa", "bb"][i % 2]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = [(1, rows[0][1]), (1, rows[0][1]), (2, rows[0][1]), (3, "kato mira " * 300_000), (4, "brugh" * 200_000)]
+    out = [tuple(r)[:3] for r in language_id.identify(spark.createDataFrame(asked, "doc_id long, text string"), language_id.fit_languages(docs)).collect()]
+    assert len(out) == 5 and len({x[1:] for x in out if x[0] < 3}) == 1 and {x[0]: x[1] for x in out} == {1: "aa", 2: "aa", 3: "aa", 4: "bb"}
+
+
 def test_viterbi_is_optimal():
     rng = np.random.default_rng(0)
     for _ in range(1500):
