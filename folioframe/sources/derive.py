@@ -68,4 +68,5 @@ def formatted_blocks(blocks: DataFrame) -> DataFrame:
         F.when(picture & ~table, 100 + idx % 4 * 80).cast("int").alias("image_min_dpi"),
         F.when(table, 5000 + idx % 7 * 900).cast("int").alias("table_width_twips"),
         F.when(idx % 9 == 4, 1).otherwise(0).cast("int").alias("underlined_runs"),
+        F.when(idx % 12 == 7, 2).otherwise(0).cast("int").alias("footnote_refs"),
     )
