@@ -50,3 +50,14 @@ def test_stages(spark):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, "en", None, 0), (2, None, None, "a", 0), (3, "", "en", "a", 0), (4, " \n ", "de", "b", 3), (None, "a few words of text", "en", "b", 19)]])
+def test_run_on_empty_tables_and_without_labels(spark, tmp_path, rows):
+    def write(name, data, schema):
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    write("documents", rows, "doc_id long, text string, lang string, source string, n_chars long")
+    write("labels", [], "doc_id long, quality int, toxic int")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} == ({None} if rows else set())
