@@ -23,7 +23,7 @@ def bands_for(similarity: float, recall: float, hashes: int = 160) -> tuple[int,
     Bands of more rows make fewer false candidates but need more hashes; of those that need no more than ``hashes``, the
     most. One row a band always reaches the recall, with as many bands as it takes.
     """
-    needed = {rows: max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))) if similarity < 1 else 1 for rows in range(1, 33)}
+    needed = {rows: max(1, math.ceil(math.log(1 - recall) / math.log1p(-(similarity**rows)))) if similarity < 1 else 1 for rows in range(1, 33)}
     rows = max((r for r, bands in needed.items() if bands * r <= hashes), default=1)
     return needed[rows], rows
 
