@@ -5,44 +5,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioframe.lineage import cut
 from folioframe.sources.docx import STYLE_COLUMNS
 
 NAMES = [c.strip().split(" ")[0] for c in STYLE_COLUMNS.split(",")]
 BOOLEANS = [c.strip().split(" ")[0] for c in STYLE_COLUMNS.split(",") if c.strip().endswith("boolean")]
 
 
-def style_chains(styles: DataFrame) -> DataFrame:
-    """Rows (doc_id, style_id, ancestor, depth): each style and what it is based on, by a recursive query.
-
-    A style that is based on itself, directly or not, ends its chain where it would repeat.
-    """
-    view = "folioframe_styles"
-    styles.filter("style_id IS NOT NULL").select("doc_id", "style_id", "based_on").createOrReplaceTempView(view)
-    return styles.sparkSession.sql(f"""
-        WITH RECURSIVE chain(doc_id, style_id, ancestor, next_id, depth, visited) AS (
-            SELECT doc_id, style_id, style_id, based_on, 0, array(style_id) FROM {view}
-            UNION ALL
-            SELECT c.doc_id, c.style_id, s.style_id, s.based_on, c.depth + 1, concat(c.visited, array(s.style_id))
-            FROM chain c JOIN {view} s ON s.doc_id = c.doc_id AND s.style_id = c.next_id
-            WHERE NOT array_contains(c.visited, s.style_id)
-        ) SELECT doc_id, style_id, ancestor, depth FROM chain
-    """)
-
-
 def resolve_styles(styles: DataFrame) -> DataFrame:
-    """Styles with inherited properties: the nearest value of the chain, then the document defaults.
+    """Styles with inherited properties, the nearest value of the chain, then the document defaults, and depth: how many
+    others a style is based on, directly or not.
 
-    A boolean that is on anywhere in the chain is on: a derived style can't turn it off.
+    A boolean that is on anywhere in the chain is on: a derived style can't turn it off. A style that is based on itself,
+    directly or not, ends its chain where it would repeat. Of several styles with one id the last of the file counts.
     """
-    own = styles.filter("style_id IS NOT NULL").select("doc_id", F.col("style_id").alias("ancestor"), *NAMES)
-    chain = style_chains(styles).join(own, ["doc_id", "ancestor"])
-    nearest = [F.bool_or(c).alias(c) if c in BOOLEANS else F.min_by(c, F.when(F.col(c).isNotNull(), F.col("depth"))).alias(c) for c in NAMES]
-    found = chain.groupBy("doc_id", "style_id").agg(*nearest)
+    rows = styles.filter("doc_id IS NOT NULL AND style_id IS NOT NULL")
+    kept = ["based_on", "style_name", "type", "is_default", "next", *NAMES]
+    rows = rows.groupBy("doc_id", "style_id").agg(F.max(F.struct("ord", *kept)).alias("s")).select("doc_id", "style_id", "s.*")
+    found = _inherited(cut(rows.withColumn("__size", F.lit(1).cast("long")).withColumn("__least", F.col("style_id"))))
     base = styles.filter("type = 'defaults'").select("doc_id", *[F.col(c).alias(f"__{c}") for c in NAMES])
     found = found.join(base, "doc_id", "left")
     merged = [F.coalesce(F.greatest(F.coalesce(c, F.lit(False)), F.coalesce(f"__{c}", F.lit(False)))).alias(c) if c in BOOLEANS else F.coalesce(c, f"__{c}").alias(c) for c in NAMES]
-    info = styles.select("doc_id", "style_id", "style_name", "type", "ord", "is_default", "next")
-    return found.select("doc_id", "style_id", *merged).join(info, ["doc_id", "style_id"])
+    return found.select("doc_id", "style_id", *merged, "style_name", "type", "ord", "is_default", "next", (F.col("__size") - 1).cast("int").alias("depth"))
+
+
+def _inherited(own: DataFrame) -> DataFrame:
+    """``own`` with the properties of whole chains, and in __size how many styles these hold.
+
+    Chains that end are followed first. In the rest, which run into circles, the styles that others point at after a walk
+    round are the circles; each of those holds its whole circle, and the styles that lead there end at it.
+    """
+    ended, circling = _followed(own.filter("based_on IS NOT NULL"), own.filter("based_on IS NULL"))
+    if circling is None:
+        return ended
+    on = circling.select("doc_id", F.col("based_on").alias("style_id")).distinct()
+    ring = circling.join(on, ["doc_id", "style_id"], "left_semi").drop("__size")
+    ring = ring.join(ring.groupBy("doc_id", "__least").agg(F.count("*").alias("__size")), ["doc_id", "__least"])
+    ring = cut(ring.withColumn("based_on", F.lit(None).cast("string")).select(own.columns))
+    rest = own.join(circling.select("doc_id", "style_id"), ["doc_id", "style_id"], "left_semi")
+    tails, _ = _followed(rest.join(on, ["doc_id", "style_id"], "left_anti"), ring)
+    return ended.unionByName(tails)
+
+
+def _followed(active: DataFrame, ended: DataFrame, few: int = 10_000) -> tuple[DataFrame, DataFrame | None]:
+    """The styles whose chains end, and those whose chains run into circles, or None.
+
+    A row covers the first styles of its chain and points at the next one by based_on; ``ended`` ones point nowhere. In each
+    round it takes over what that one covers, which doubles its reach, so there are as many rounds as the longest chain
+    doubles. While chains that end are unfinished, each round finishes some; when none does, what is left runs in circles,
+    and has been all round once its reach is the number of such styles. Up to ``few`` styles pointed at are broadcast, as
+    then many rows point at one.
+    """
+    reach, before = 1, None
+    while True:
+        n, targets = active.groupBy("doc_id", "based_on").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+        if not n:
+            return ended, None
+        if n == before and reach >= active.groupBy("doc_id").count().agg(F.max("count")).first()[0]:
+            return ended, active
+        others = active.unionByName(ended).select("doc_id", F.col("style_id").alias("based_on"), F.struct("based_on", "__size", "__least", *NAMES).alias("__to"))
+        if targets <= few:
+            others = F.broadcast(others.join(F.broadcast(active.select("doc_id", "based_on").distinct()), ["doc_id", "based_on"], "left_semi"))
+        more = {"based_on": F.col("__to.based_on"), "__size": F.col("__size") + F.coalesce("__to.__size", F.lit(0)), "__least": F.least("__least", "__to.__least")}
+        more |= {c: (F.greatest if c in BOOLEANS else F.coalesce)(c, f"__to.{c}") for c in NAMES}
+        rows = cut(active.join(others, ["doc_id", "based_on"], "left").withColumns(more).select(active.columns))
+        active, ended = rows.filter("based_on IS NOT NULL"), ended.unionByName(rows.filter("based_on IS NULL"))
+        reach, before = reach * 2, n
 
 
 def normalized_name(name: Column) -> Column:

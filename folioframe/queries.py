@@ -433,8 +433,7 @@ def style_inheritance(spark, sf_dir):
         F.lit(1).cast("long").alias("doc_id"), key.cast("int").alias("ord"), key.cast("string").alias("style_id"), key.cast("string").alias("style_name"), F.lit("paragraph").alias("type"), F.when(key > 1, F.floor(key / 2).cast("string")).alias("based_on"),
         F.lit(None).cast("string").alias("next"), (key == 1).alias("is_default"), *props,
     )
-    depth = Y.style_chains(styles).groupBy("style_id").agg(F.max("depth").alias("depth"))
-    return Y.resolve_styles(styles).select("style_id", "bold", "half_points").join(depth, "style_id")
+    return Y.resolve_styles(styles).select("style_id", "bold", "half_points", "depth")
 
 
 @query(

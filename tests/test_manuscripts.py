@@ -145,6 +145,38 @@ def test_packages_round_trip(spark):
     assert X.sections(packages).first()["width_twips"] == 7920
 
 
+def walked(styles):
+    """Of each style (doc_id, style_id): bold, size and depth by a walk along its chain; of equal ids the last counts."""
+    of, out = {(d, s): (up, bold, size) for d, _, s, up, bold, size in styles if d is not None and s is not None}, {}
+    for d, s in of:
+        chain, at = [], s
+        while (d, at) in of and at not in chain:
+            chain.append(at)
+            at = of[d, at][0]
+        sizes = [of[d, c][2] for c in chain if of[d, c][2] is not None]
+        out[d, s] = (any(of[d, c][1] for c in chain), sizes[0] if sizes else None, len(chain) - 1)
+    return out
+
+
+def test_style_chains_of_any_length_and_shape(spark):
+    rng = random.Random(5)
+    style = lambda d, i, s, up: (d, i, s, up, rng.choice([None, None, None, True, False]), rng.choice([None, None, 20 + i % 50]))
+    rows = [style(1, i, f"s{i}", f"s{i - 1}" if i else None) for i in range(300)]  # one chain longer than 100
+    rows += [style(2, i, f"s{i}", f"s{(i + 1) % 150}") for i in range(150)]  # one circle
+    rows += [style(2, 150 + i, f"t{i}", f"t{i - 1}" if i else "s7") for i in range(90)]  # what leads into it
+    rows += [style(3, i, f"s{i}", f"s{rng.randrange(60)}" if i % 7 else None) for i in range(55)]  # trees, circles and ids that aren't there
+    rows += [style(4, 0, "a", "a"), style(4, 1, "b", "a"), style(4, 2, "c", "nowhere"), style(4, 3, "d", "c"), style(4, 4, "d", "b"), style(4, 5, None, "a"), style(None, 6, "a", "b")]
+    rows += [style(d, i, f"s{i}", f"s{rng.randrange(12)}") for d in range(5, 45) for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, ord int, style_id string, based_on string, bold boolean, half_points int")
+    kinds = dict(c.strip().split(" ") for c in X.STYLE_COLUMNS.split(","))
+    frame = frame.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in frame.columns}).withColumns({"style_name": F.col("style_id"), "type": F.lit("paragraph"), "next": F.lit(None).cast("string"), "is_default": F.lit(False)})
+    got = Y.resolve_styles(frame).collect()
+    want = walked(rows)
+    assert len(got) == len(want)
+    assert {(r["doc_id"], r["style_id"]): (r["bold"], r["half_points"], r["depth"]) for r in got} == want
+    assert max(w[2] for w in want.values()) == 299 and want[2, "t89"][2] == 239
+
+
 def test_pixel_sizes():
     assert X.pixel_size(b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")) == (640, 480)
     assert X.pixel_size(b"GIF89a" + (10).to_bytes(2, "little") + (20).to_bytes(2, "little")) == (10, 20)

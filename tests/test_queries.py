@@ -66,3 +66,11 @@ def test_details_of_a_title_page_and_a_copyright_page(spark):
     blocks = spark.createDataFrame([(*r, len(r[3].split()), False) for r in rows], "doc_id long, idx int, role string, text string, word_count int, is_empty boolean")
     out = {r["doc_id"]: tuple(r)[1:] for r in detect_details(blocks).select("doc_id", "title", "author", "copyright_year", "isbn", "subtitle").collect()}
     assert out == {1: ("The Long Night", "Ann Lee", "2020", "0-306-40615-2", "A tale of the north"), 2: ("Day", "Bo Day", "2018", None, None)}
+
+
+def test_style_inheritance_of_more_than_a_million_pairs(spark, tmp_path):
+    spark.range(80_000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(str(tmp_path / "raw"))
+    next((tmp_path / "raw").glob("part-*")).rename(tmp_path / "customer.parquet")
+    got, want = QUERIES["style_inheritance"](spark, str(tmp_path)).toPandas(), oracle(ORACLES["style_inheritance"], str(tmp_path))
+    assert (want["depth"] + 1).sum() > 1_000_000
+    assert normal(got) == normal(want)
